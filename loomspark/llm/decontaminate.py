@@ -155,6 +155,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", text: str
     # a kept word brings what stood after it, the first one also what stood before
     rest = F.concat(F.when(F.array_contains(kept, 0), F.element_at("__gaps", 1)).otherwise(F.lit("")), F.array_join(F.transform("__kept", lambda i: F.concat(F.element_at("__words", i + 1), F.element_at("__gaps", i + 2))), ""))
     dirty = rows.where("__spans is not null").where(share <= max_share)
-    dirty = dirty.withColumns({"__words": words, "__gaps": between, "__kept": kept})
+    # written: else the optimizer would put the split into the lambda, once for each word
+    dirty = saved(dirty.withColumns({"__words": words, "__gaps": between, "__kept": kept}), "dirty")
     dirty = dirty.withColumn(text, rest).select(*names)
     return rows.where("__spans is null").select(*names).unionByName(dirty)
