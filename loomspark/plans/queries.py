@@ -2,5 +2,236 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.operators import boxes as bx
+from loomspark.operators import labels
+from loomspark.operators import neighbors as nb
+from loomspark.operators.components import connected_components
+from loomspark.settings import BoxSettings, ClusterSettings
+from loomspark.sources.points import points
+
+EPS, MIN_POINTS = 1.505, 6
+BOXES = BoxSettings(levels=6, points_per_box=100)
+EVENTS = "SELECT event_id + 1 AS id, CAST(user_id AS DOUBLE) AS x, value AS y FROM events"
+VECTORS = "SELECT vec_id + 1 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("id"), F.col("user_id").alias("x"), F.col("value").alias("y"))
+    return points(df, ["x", "y"], "id")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") + 1).alias("id"), "embedding")
+    return points(df, "embedding", "id")
+
+
+def _xy() -> list:
+    return [F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y")]
+
+
+def points_scan(spark, sf_dir):
+    return _events(spark, sf_dir).select("point_id", *_xy())
+
+
+def pairwise_distance(spark, sf_dir):
+    return nb.neighbor_pairs(_events(spark, sf_dir), EPS).select("id_a", "id_b", F.floor(F.col("distance") * 1000000).alias("micro_distance"))
+
+
+def distance_from_origin(spark, sf_dir):
+    x, y = F.col("coords")[0], F.col("coords")[1]
+    return _events(spark, sf_dir).select("point_id", F.floor(F.sqrt(x * x + y * y) * 1000000).alias("micro_norm"))
+
+
+def bounding_box(spark, sf_dir):
+    return bx.bounding_box(_events(spark, sf_dir))
+
+
+def _flat(boxes: DataFrame) -> DataFrame:
+    return boxes.select("path", "lvl", F.col("lo")[0].alias("xl"), F.col("hi")[0].alias("xu"), F.col("lo")[1].alias("yl"), F.col("hi")[1].alias("yu"), "n_points")
+
+
+def density_boxes(spark, sf_dir):
+    return _flat(bx.density_boxes(_events(spark, sf_dir), EPS, BOXES))
+
+
+def _assigned(spark, sf_dir):
+    pts = _events(spark, sf_dir)
+    return bx.assign(pts, bx.density_boxes(pts, EPS, BOXES), EPS, BOXES)
+
+
+def box_assignment(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("point_id", "path")
+
+
+def adjacent_boxes(spark, sf_dir):
+    return bx.adjacent(bx.density_boxes(_events(spark, sf_dir), EPS, BOXES))
+
+
+def points_near_bounds(spark, sf_dir):
+    return bx.near_bounds(_assigned(spark, sf_dir), EPS).select("point_id", "path")
+
+
+def cells(spark, sf_dir):
+    return nb.cells(_events(spark, sf_dir), EPS).select(F.col("cell")[0].alias("cx"), F.col("cell")[1].alias("cy"), "n_points")
+
+
+def neighbor_pairs(spark, sf_dir):
+    return nb.neighbor_pairs(_events(spark, sf_dir), EPS).select("id_a", "id_b")
+
+
+def neighbor_counts(spark, sf_dir):
+    return nb.neighbor_counts(_events(spark, sf_dir), EPS)
+
+
+def core_points(spark, sf_dir):
+    return nb.neighbor_counts(_events(spark, sf_dir), EPS, min_points=MIN_POINTS).where("is_core").select("point_id", "n_neighbors")
+
+
+def core_edges(spark, sf_dir):
+    pts = _events(spark, sf_dir)
+    core = core_points(spark, sf_dir).select("point_id")
+    pairs = nb.neighbor_pairs(pts, EPS)
+    return pairs.join(core.withColumnRenamed("point_id", "id_a"), "id_a", "left_semi").join(core.withColumnRenamed("point_id", "id_b"), "id_b", "left_semi").select("id_a", "id_b")
+
+
+def components(spark, sf_dir):
+    core = core_points(spark, sf_dir).select("point_id")
+    found = connected_components(core_edges(spark, sf_dir), "id_a", "id_b").withColumnRenamed("node", "point_id")
+    return core.join(found, "point_id", "left").select("point_id", F.coalesce("component", "point_id").alias("component"))
+
+
+def _labelled(spark, sf_dir, view=_events, **given):
+    return labels.label(view(spark, sf_dir), ClusterSettings(**({"eps": EPS, "min_points": MIN_POINTS} | given)))
+
+
+def border_assignment(spark, sf_dir):
+    return _labelled(spark, sf_dir).where("is_border").select("point_id", "cluster_id")
+
+
+def cluster_labels(spark, sf_dir, **given):
+    return _labelled(spark, sf_dir, **given).select("point_id", "n_neighbors", "is_core", "cluster_id")
+
+
+def noise_points(spark, sf_dir):
+    return labels.noise_points(_labelled(spark, sf_dir)).select("point_id", "n_neighbors")
+
+
+def clustered_points(spark, sf_dir):
+    return labels.clustered_points(_labelled(spark, sf_dir)).select("point_id", "cluster_id")
+
+
+def cluster_summary(spark, sf_dir):
+    return labels.summary(_labelled(spark, sf_dir))
+
+
+def predict_labels(spark, sf_dir):
+    from loomspark.plans.shared import saved
+
+    pts, s = _events(spark, sf_dir), ClusterSettings(EPS, MIN_POINTS)
+    test = (F.col("point_id") - 1) % 10 == 0
+    return labels.predict(saved(labels.label(pts.where(~test), s), "labelled"), pts.where(test), s)
+
+
+VEC = {"view": _vectors, "eps": 1.15, "min_points": 3}
+
+
+def vector_neighbor_counts(spark, sf_dir):
+    return nb.neighbor_counts(_vectors(spark, sf_dir), 1.15)
+
+
+def vector_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir, **VEC).select("point_id", "n_neighbors", "is_core", "cluster_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    points_scan, pairwise_distance, distance_from_origin, bounding_box, density_boxes, box_assignment, adjacent_boxes, points_near_bounds, cells,
+    neighbor_pairs, neighbor_counts, core_points, core_edges, border_assignment, cluster_labels, noise_points, clustered_points, cluster_summary,
+    predict_labels, vector_neighbor_counts, vector_labels,
+)} | {
+    "connected_components": components,
+    "cluster_labels_border_as_noise": partial(cluster_labels, border_as_noise=True),
+    "manhattan_labels": partial(cluster_labels, metric="manhattan"),
+    "chebyshev_labels": partial(cluster_labels, metric="chebyshev"),
+}
+
+_DIST = {
+    "euclidean": "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))",
+    "manhattan": "abs(a.x-b.x)+abs(a.y-b.y)",
+    "chebyshev": "greatest(abs(a.x-b.x), abs(a.y-b.y))",
+    "vector": "list_distance(a.v, b.v)",
+}
+
+
+def _cte(src: str = EVENTS, eps: float = EPS, m: int = MIN_POINTS, metric: str = "euclidean") -> str:
+    near = "" if metric == "vector" else f"b.x BETWEEN a.x-{eps} AND a.x+{eps} AND "
+    return f"""WITH RECURSIVE p AS ({src}),
+nb AS (SELECT a.id, b.id AS nid FROM p a JOIN p b ON {near}{_DIST[metric]} <= {eps}),
+cnt AS (SELECT id, count(*) AS n FROM nb GROUP BY id),
+core AS (SELECT id FROM cnt WHERE n >= {m}),
+e AS (SELECT nb.id, nb.nid FROM nb JOIN core c1 ON nb.id=c1.id JOIN core c2 ON nb.nid=c2.id WHERE nb.id<>nb.nid),
+cc(id, root) USING KEY (id) AS (
+  SELECT id, id FROM core UNION
+  SELECT e.nid, min(cc.root) FROM cc JOIN e ON cc.id=e.id JOIN recurring.cc AS o ON o.id=e.nid WHERE cc.root < o.root GROUP BY e.nid),
+lab AS (SELECT nb.id, min(cc.root) AS r FROM nb JOIN cc ON cc.id=nb.nid GROUP BY nb.id),
+out AS (SELECT p.id AS point_id, cnt.n AS n_neighbors, (cnt.n>={m}) AS is_core, (cc.id IS NULL AND lab.id IS NOT NULL) AS is_border,
+  CASE WHEN cc.id IS NOT NULL THEN cc.root WHEN lab.id IS NOT NULL THEN lab.r ELSE 0 END AS cluster_id
+  FROM p JOIN cnt USING(id) LEFT JOIN cc USING(id) LEFT JOIN lab USING(id))
+"""
+
+
+_LABELS = "SELECT point_id, n_neighbors, is_core, cluster_id FROM out"
+_BOXES = f"""WITH RECURSIVE p AS ({EVENTS}),
+n AS (
+ SELECT '0' AS path, 0 AS lvl, min(x) xl, max(x) xu, min(y) yl, max(y) yu, true xi, true yi FROM p
+ UNION ALL
+ SELECT path||k, lvl+1,
+   CASE WHEN sx AND k=1 THEN xl+(xu-xl)/2 ELSE xl END, CASE WHEN sx AND k=0 THEN xl+(xu-xl)/2 ELSE xu END,
+   CASE WHEN NOT sx AND k=1 THEN yl+(yu-yl)/2 ELSE yl END, CASE WHEN NOT sx AND k=0 THEN yl+(yu-yl)/2 ELSE yu END,
+   CASE WHEN sx AND k=0 THEN false ELSE xi END, CASE WHEN NOT sx AND k=0 THEN false ELSE yi END
+ FROM (SELECT *, (xu-xl)>=(yu-yl) AS sx FROM n) t, (VALUES (0),(1)) v(k)
+ WHERE lvl<{BOXES.levels} AND least(CASE WHEN sx THEN (xu-xl)/2 ELSE xu-xl END, CASE WHEN sx THEN yu-yl ELSE (yu-yl)/2 END) >= 2*{EPS}),
+inb AS (SELECT n.path, p.id FROM n JOIN p ON p.x>=n.xl AND (p.x<n.xu OR (n.xi AND p.x=n.xu)) AND p.y>=n.yl AND (p.y<n.yu OR (n.yi AND p.y=n.yu))),
+c AS (SELECT n.path, count(inb.id) AS cnt FROM n LEFT JOIN inb USING(path) GROUP BY n.path),
+s AS (SELECT left(path,length(path)-1) AS par, max(cnt) AS mx FROM c GROUP BY 1),
+boxes AS (SELECT n.path, n.lvl, n.xl, n.xu, n.yl, n.yu, c.cnt AS n_points FROM n JOIN c USING(path)
+ LEFT JOIN s AS kids ON kids.par=n.path
+ LEFT JOIN s AS sib  ON sib.par=left(n.path,length(n.path)-1)
+WHERE (n.lvl=0 OR sib.mx>={BOXES.points_per_box}) AND coalesce(kids.mx,0)<{BOXES.points_per_box})
+"""
+
+ORACLES = {
+    "points_scan": EVENTS.replace("AS id", "AS point_id"),
+    "pairwise_distance": _cte() + f"SELECT a.id AS id_a, b.id AS id_b, CAST(floor({_DIST['euclidean']}*1000000) AS BIGINT) AS micro_distance FROM nb JOIN p a ON a.id=nb.id JOIN p b ON b.id=nb.nid WHERE nb.id<nb.nid",
+    "distance_from_origin": f"SELECT id AS point_id, CAST(floor(sqrt(x*x+y*y)*1000000) AS BIGINT) AS micro_norm FROM ({EVENTS})",
+    "bounding_box": f"WITH p AS ({EVENTS}) SELECT 0::INTEGER AS dim, min(x) AS lower, max(x) AS upper, count(*) AS n_points FROM p UNION ALL SELECT 1::INTEGER, min(y), max(y), count(*) FROM p",
+    "density_boxes": _BOXES + "SELECT * FROM boxes",
+    "box_assignment": _BOXES + "SELECT inb.id AS point_id, path FROM inb JOIN boxes USING(path)",
+    "adjacent_boxes": _BOXES + "SELECT a.path AS path_a, b.path AS path_b FROM boxes a JOIN boxes b ON a.path<b.path AND a.xl<=b.xu AND b.xl<=a.xu AND a.yl<=b.yu AND b.yl<=a.yu",
+    "points_near_bounds": _BOXES + f"SELECT p.id AS point_id, path FROM inb JOIN boxes USING(path) JOIN p ON p.id=inb.id WHERE abs(x-xl)<={EPS} OR abs(x-xu)<={EPS} OR abs(y-yl)<={EPS} OR abs(y-yu)<={EPS}",
+    "cells": f"SELECT CAST(floor(x/{EPS}) AS BIGINT) AS cx, CAST(floor(y/{EPS}) AS BIGINT) AS cy, count(*) AS n_points FROM ({EVENTS}) GROUP BY 1, 2",
+    "neighbor_pairs": _cte() + "SELECT id AS id_a, nid AS id_b FROM nb WHERE id<nid",
+    "neighbor_counts": _cte() + "SELECT id AS point_id, n AS n_neighbors FROM cnt",
+    "core_points": _cte() + f"SELECT id AS point_id, n AS n_neighbors FROM cnt WHERE n>={MIN_POINTS}",
+    "core_edges": _cte() + "SELECT id AS id_a, nid AS id_b FROM e WHERE id<nid",
+    "connected_components": _cte() + "SELECT id AS point_id, root AS component FROM cc",
+    "border_assignment": _cte() + "SELECT point_id, cluster_id FROM out WHERE is_border",
+    "cluster_labels": _cte() + _LABELS,
+    "cluster_labels_border_as_noise": _cte() + "SELECT point_id, n_neighbors, is_core, CASE WHEN is_core THEN cluster_id ELSE 0 END AS cluster_id FROM out",
+    "noise_points": _cte() + "SELECT point_id, n_neighbors FROM out WHERE cluster_id=0",
+    "clustered_points": _cte() + "SELECT point_id, cluster_id FROM out WHERE cluster_id<>0",
+    "cluster_summary": _cte() + "SELECT cluster_id, count(*) AS n_points, count(*) FILTER (is_core) AS n_core, count(*) FILTER (is_border) AS n_border FROM out GROUP BY cluster_id",
+    "predict_labels": _cte(f"SELECT * FROM ({EVENTS}) WHERE (id-1)%10<>0") + f""", l AS MATERIALIZED (SELECT t.cluster_id, p.x, p.y FROM out t JOIN p ON p.id=t.point_id),
+qp AS (SELECT * FROM ({EVENTS}) WHERE (id-1)%10=0),
+g AS (SELECT qp.id, l.cluster_id, count(*) n FROM qp JOIN l ON sqrt((qp.x-l.x)*(qp.x-l.x)+(qp.y-l.y)*(qp.y-l.y)) <= {EPS} GROUP BY ALL),
+a AS (SELECT id, min(cluster_id) FILTER (cluster_id<>0 AND n>={MIN_POINTS}-1) AS strong, min(cluster_id) FILTER (cluster_id<>0) AS anyc, coalesce(max(n) FILTER (cluster_id=0),0) AS noise FROM g GROUP BY id)
+SELECT qp.id AS point_id, CASE WHEN strong IS NOT NULL THEN strong WHEN anyc IS NOT NULL THEN anyc WHEN coalesce(noise,0)>={MIN_POINTS}-1 THEN -1 ELSE 0 END AS cluster_id FROM qp LEFT JOIN a USING(id)""",
+    "manhattan_labels": _cte(metric="manhattan") + _LABELS,
+    "chebyshev_labels": _cte(metric="chebyshev") + _LABELS,
+    "vector_neighbor_counts": _cte(VECTORS, 1.15, 3, "vector") + "SELECT id AS point_id, n AS n_neighbors FROM cnt",
+    "vector_labels": _cte(VECTORS, 1.15, 3, "vector") + _LABELS,
+}
