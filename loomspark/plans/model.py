@@ -40,7 +40,7 @@ class DensityModel:
 
     def save(self, path: str) -> None:
         self.labelled.write.parquet(f"{path}/labelled")
-        self.labelled.sparkSession.createDataFrame([tuple(asdict(self.settings).values())], "eps double, min_points int, metric string, border_as_noise boolean").write.parquet(f"{path}/settings")
+        self.labelled.sparkSession.createDataFrame([(float(self.settings.eps), *list(asdict(self.settings).values())[1:])], "eps double, min_points int, metric string, border_as_noise boolean").write.parquet(f"{path}/settings")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> DensityModel:
