@@ -10,8 +10,9 @@ A byte goes when a LENGTH-byte string that covers it starts at another place too
 3. Rows of one hash meet. Their suffixes, and their reversed prefixes, are put in order by deep-shallow sorting; the
    common prefixes of neighbours give, for each offset of a window to its anchor, which rows agree to the left and to
    the right. Rows that agree on both sides have equal windows. No pairs are formed: time is by rows times offsets.
-4. A hash with more than BUCKET_ROWS rows is not sorted in one task: its windows are hashed (128 bits) and counted by
-   a combining aggregation, which is exact too, and no group of copies meets in one place.
+4. A hash with more than BUCKET_ROWS rows is not sorted in one task: rows with equal bytes are counted by a combining
+   aggregation; of those that are left the windows are hashed (128 bits) and counted so. That is exact too, and no
+   group of copies meets in one place.
 
 Defined cases: a null or empty text has no bytes and keeps its empty rest; texts shorter than LENGTH lose nothing;
 repeated rows are copies of each other and so lose all their bytes from LENGTH on; matches never cross texts.
@@ -35,7 +36,7 @@ from loomspark.plans.shared import saved
 
 LENGTH = 400
 GRAM = 128
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 100_000
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -182,9 +183,14 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
                 keys = [hashlib.blake2b(data[k : k + length], digest_size=16).digest() for k in range(most - least + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([doc] * len(keys), pa.int64()), pa.array(range(p - most, p - least + 1), pa.int64())], ["key", "doc_id", "a"])
 
-    rows = arrow(contexts, windows, "key binary, doc_id long, a long")
+    # rows of equal bytes have only repeated windows; one row of each kind is cut into windows
+    marked = contexts.withColumn("kind", F.sha2("bytes", 256))
+    kinds = marked.groupBy("kind", "most", "least").agg(F.count("*").alias("alike"), F.min(F.struct("doc_id", "p")).alias("one"))
+    marked = saved(marked.join(kinds, ["kind", "most", "least"]).withColumn("is_one", F.struct("doc_id", "p") == F.col("one")), "kinds")
+    whole = marked.where("alike > 1").select("doc_id", (F.col("p") - F.col("most")).alias("a"), (F.col("p") - F.col("least") + length).alias("b"))
+    rows = saved(arrow(marked.where("is_one").select("doc_id", "p", "most", "least", "bytes"), windows, "key binary, doc_id long, a long"), "windows")
     more = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(more, "key", "left_semi").select("doc_id", "a", (F.col("a") + length).alias("b"))
+    return whole.unionByName(rows.join(more, "key", "left_semi").select("doc_id", "a", (F.col("a") + length).alias("b")))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int | None = None, bucket_rows: int = BUCKET_ROWS, with_text: bool = False) -> DataFrame:
