@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.plans.shared import saved
+from loomspark.plans.shared import discard, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now = saved(_small_star(_large_star(now)), "edges")
+        last, now = now, saved(_small_star(_large_star(now)), "edges")
+        discard(last)
         before, mark = mark, state(now)
         if before == mark:
             break
