@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.frames import arrow
-from loomspark.llm.tokens import PieceEncoder
+from loomspark.llm.tokens import encoder as encoder_of
 from loomspark.plans.shared import saved
 
 CAPACITY = 2048
@@ -93,7 +93,7 @@ def cut(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", capa
     """id, piece, start, length, ids_crc32, and part and nth: its partition and its number there among pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path, with_space=True)
+        encoder = encoder_of(path, with_space=True)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             texts, keys, part = [t or "" for t in b["t"].to_pylist()], b["k"], b["part"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.frames import arrow
-from loomspark.llm.tokens import PieceEncoder
+from loomspark.llm.tokens import encoder as encoder_of
 from loomspark.plans.shared import saved
 
 END = 2
@@ -154,7 +154,7 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
     rows = rows.repartitionByRange(parts, "k").sortWithinPartitions("k").select("k", "t", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path, with_space=False)
+        encoder = encoder_of(path, with_space=False)
         shard, held, n, part = 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:

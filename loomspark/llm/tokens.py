@@ -7,6 +7,7 @@ ASCII's, or with a special token's marks, is encoded as a whole.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -14,13 +15,27 @@ import numpy as np
 from loomspark.llm import bytetext as B
 
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
-CACHE_PIECES = 1_500_000
+#: 1: ASCII letters and digits; 2: other visible ASCII but the apostrophe, which contractions begin with.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 2
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[39] = 0
+CACHE_PIECES = 700_000
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder(path: str, with_space: bool) -> PieceEncoder:
+    """One encoder, with the pieces it knows, for all tasks of a worker."""
+    if (path, with_space) not in _encoders:
+        _encoders[path, with_space] = PieceEncoder(path, with_space)
+    return _encoders[path, with_space]
 
 
 class PieceEncoder:
     """encode(texts): ids of each text. with_space: a single space belongs to the word after it (byte-level), else white space has no ids."""
 
     def __init__(self, path: str, with_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.with_space = Tokenizer.from_file(path), with_space
@@ -36,9 +51,15 @@ class PieceEncoder:
     def _pieces(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         space = B.SPACE[buf]
         space[starts[1:] - 1] = True
-        if not self.with_space:
-            return B.runs(~space)
         own = np.zeros(len(buf) + 1, dtype=bool)  # where a piece begins
+        kind = _KIND[buf]
+        own[1:-1] = (kind[1:] ^ kind[:-1]) == 3  # between a letter or digit and a sign, always another token
+        if not self.with_space:
+            s, e = B.runs(~space)
+            own[s] = own[e] = True
+            at = np.flatnonzero(own)
+            keep = ~space[np.minimum(at[:-1], len(buf) - 1)]
+            return at[:-1][keep], at[1:][keep]
         own[starts] = True
         own[starts[1:] - 1] = True  # a separator is a piece, dropped below
         s, e = B.runs(~space)
@@ -59,7 +80,8 @@ class PieceEncoder:
         raw = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
         buf, starts = B.joined(raw)
         s, e = self._pieces(buf, starts)
-        key = B.range_hash(B.prefix(buf), s, e) ^ (e - s).astype(np.uint64)
+        values = B.BYTE_VALUES if self.with_space else B.LOWER_VALUES  # word-level ids don't depend on case
+        key = B.range_hash(B.prefix(buf, values), s, e) ^ (e - s).astype(np.uint64)
         unique, first, back = np.unique(key, return_index=True, return_inverse=True)
         row = self._lookup(unique, first, s, e, buf)
         piece = row[back]
