@@ -8,9 +8,10 @@ posted under (coordinate, value), and the coordinates after it are skipped in th
 The pairs of a list are never written out. First, each list is tied to its smallest id: these star pairs are counted,
 those with enough matches are confirmed on the full sets, and components are formed. Lists that lie in one
 component are then done, as are all large groups of true copies. In the rest, pairs from different components are
-matched inside the task and only those with enough matches leave it; they are confirmed too. A list longer than
-LIST_ROWS is first dealt out by a second coordinate on which a pair must also agree, so one common value is no one
-task's load. Links that are confirmed connect exactly the components of the full similarity graph.
+matched inside the task and only those with enough matches leave it; in lists of more than BINNED_ROWS these are also
+compared by one-permutation bins, which for such set sizes are close to the sets themselves. They are confirmed too. The texts of a list longer
+than LIST_ROWS, such as that of a line that very many texts hold, are matched over their rarest shingles instead, of
+which linked texts must share one; no list is cut or left out. Links that are confirmed connect exactly the components of the full similarity graph.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of fewer than five words
 has its whole sequence as its one shingle; a null, empty or blank text has none and is linked with nothing; repeated
@@ -25,19 +26,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
 from loomspark.llm.frames import arrow, only
 from loomspark.operators.components import connected_components
-from loomspark.plans.shared import saved
+from loomspark.plans.shared import discard, saved
 
 SHINGLE = 5
-COORDINATES = 48
-MIN_MATCHES = 22
+COORDINATES = 64
+MIN_MATCHES = 33
 PERCENT = 75
+#: Coordinates that are posted.
+PREFIX = COORDINATES - MIN_MATCHES + 1
 LIST_ROWS = 2000
+#: Rows of a list from which pairs are also compared by bins, the number of bins, and how many deviations below its mean a linked pair may lie.
+BINNED_ROWS = 16
+BINS = 512
+DEVIATIONS = 4.5
 _SEEDS = B.words_from(11, COORDINATES)
 _ODD = B.words_from(13, COORDINATES) | np.uint64(1)
 
@@ -64,8 +71,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def binned(s: np.ndarray) -> bytes:
+    """One byte for each BINS-th part of the hash range: 0 if the sorted set has nothing there, else a digest of its least hash there."""
+    out = np.zeros(BINS, dtype=np.uint8)
+    part = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    out[part[first]] = 1 + s[first] % np.uint64(255)
+    return out.tobytes()
+
+
 def sketch(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_key (null: empty set), sig (array of COORDINATES ints) of every row."""
+    """doc_id, n_shingles, set_key (null: empty set), sig (array of COORDINATES ints), bins (BINS bytes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,9 +91,9 @@ def sketch(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
                 sig = iter(signatures(sets).view(np.int32))
                 sigs = [next(sig) if len(s) else None for s in sets]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array([binned(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "sig", "bins"])
 
-    return arrow(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
+    return arrow(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_shingles long, set_key binary, sig array<int>, bins binary")
 
 
 def _lengths_fit(a: str, b: str) -> F.Column:
@@ -95,13 +111,31 @@ def _star_pairs(postings: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _matches(rows: dict[str, np.ndarray], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs inside each group (at: where groups begin) that may be linked and lie in different components."""
-    comp, n, sig = rows["comp"], rows["n_shingles"], rows["sig8"]
+    comp, n, sig, coord, mask, has, rank, bins = (rows[c] for c in ("comp", "n_shingles", "sig", "coord", "mask", "has", "rank", "bins"))
 
     def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (comp[i] != comp[j]) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
         i, j = i[ok], j[ok]
-        ok = (sig[i] == sig[j]).sum(1) >= MIN_MATCHES
-        return i[ok], j[ok]
+        same = sig[i] == sig[j]
+        ok = same.sum(1) >= MIN_MATCHES
+        i, j, same = i[ok], j[ok], same[ok]
+        # a pair is for the first short list that it shares, and for lists by shingle only if it shares none
+        same = same[:, :PREFIX] & ((mask[i][:, None] >> np.arange(PREFIX)) & 1 == 0)
+        ok = np.where(coord[i] < 0, ~same.any(1), same.any(1) & (same.argmax(1) == coord[i]))
+        i, j = i[ok], j[ok]
+        at = np.flatnonzero(has[i] & has[j])
+        if len(at):
+            x, y = bins[rank[i[at]]], bins[rank[j[at]]]
+            m = ((x | y) != 0).sum(1)
+            # linked: the union has at most this many shingles, of which the bins show m
+            union = (n[i[at]] + n[j[at]]) * 100 / (100 + PERCENT)
+            p = PERCENT / 100
+            spread = np.sqrt(p * (1 - p) * m * np.clip((union - m) / np.maximum(union - 1, 1), 0, 1))
+            bad = ((x == y) & (x != 0)).sum(1) < p * m - DEVIATIONS * spread - 1e-9
+            ok = np.ones(len(i), dtype=bool)
+            ok[at[bad]] = False
+            i, j = i[ok], j[ok]
+        return i, j
 
     sizes = np.diff(at)
     for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):
@@ -118,12 +152,16 @@ def _matches(rows: dict[str, np.ndarray], at: np.ndarray) -> Iterator[tuple[np.n
 
 
 def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """lists: key, doc_id, comp, n_shingles, sig8. Pairs of different components that share a list and enough coordinates."""
+    """lists: key, coord (-1: by shingle), mask (coordinates with long lists), doc_id, comp, n_shingles, sig, bins. Pairs of different components that share a list and enough coordinates."""
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
         key = part["key"].to_numpy()
-        rows = {c: part[c].to_numpy() for c in ("doc_id", "comp", "n_shingles")}
-        rows["sig8"] = np.frombuffer(b"".join(part["sig8"].to_pylist()), dtype=np.uint8).reshape(len(key), COORDINATES)
+        rows = {c: part[c].to_numpy() for c in ("doc_id", "comp", "n_shingles", "coord", "mask")}
+        rows["sig"] = np.concatenate([c.flatten().to_numpy() for c in part["sig"].chunks]).reshape(len(key), COORDINATES)
+        got = [x for x in part["bins"].to_pylist() if x is not None]
+        rows["has"] = ~np.asarray(part["bins"].is_null())
+        rows["rank"] = np.cumsum(rows["has"]) - 1
+        rows["bins"] = np.frombuffer(b"".join(got), dtype=np.uint8).reshape(len(got), BINS)
         at = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
         found = {(int(min(p)), int(max(p))) for i, j in _matches(rows, at) for p in zip(rows["doc_id"][i], rows["doc_id"][j], strict=True)}
         out = sorted(found)
@@ -149,9 +187,34 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     return arrow(lists.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
+def _rare_lists(long: DataFrame, docs: DataFrame) -> DataFrame:
+    """Lists by shingle for the texts of long coordinate lists, whatever made those long.
+
+    A text of n shingles shares at least PERCENT of them with any that it is linked with; so if all order their shingles
+    from rare to common, the two agree on one of the first n - ceil(PERCENT * n / 100) + 1. Only these are posted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ids = B.texts_of(b["text"]), b["doc_id"].to_numpy()
+            for i, j in B.blocks(texts):
+                sets = shingle_sets(texts[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids[i:j], [len(s) for s in sets]))], ["key", "doc_id"])
+
+    texts = only(docs, long.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    shingles = saved(arrow(texts.select("doc_id", "text"), run, "key long, doc_id long"), "shingles")
+    often = shingles.groupBy("key").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("doc_id").orderBy("often", "key")
+    n = F.col("n_shingles")
+    posted = shingles.join(often, "key").withColumn("place", F.row_number().over(order)).where("often > 1").join(long, "doc_id").where(F.col("place") <= n - F.ceil(n * PERCENT / 100) + 1)
+    posted = saved(posted.select("key", "mask", "doc_id", "comp", "n_shingles", "sig", "bins"), "rare")
+    mixed = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return posted.join(mixed, "key")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets meet the threshold. Texts reach them by two equi-joins, whose large keys AQE splits."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = only(docs, ids, "doc_id")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
@@ -180,9 +243,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lis
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = saved(sketch(docs), "sketch")
     classes = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = saved(sketches.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").where("sig is not null").select("doc_id", "n_shingles", "sig"), "reps")
-    prefix = COORDINATES - MIN_MATCHES + 1
-    postings = reps.select("doc_id", F.posexplode(F.slice("sig", 1, prefix)).alias("k", "v")).select("doc_id", _key("k", "v").alias("key"))
+    reps = saved(sketches.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").where("sig is not null").select("doc_id", "n_shingles", "sig", "bins"), "reps")
+    postings = reps.select("doc_id", F.posexplode(F.slice("sig", 1, PREFIX)).alias("k", "v")).select("doc_id", _key("k", "v").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     postings = saved(postings.join(shared, "key"), "lists")
 
@@ -193,18 +255,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lis
     labelled = postings.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_lists = saved(labelled.join(mixed, "key"), "open")
-    with_sig = open_lists.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-    sig8 = F.unhex(F.concat_ws("", F.expr("transform(sig, x -> lpad(hex(x & 255), 2, '0'))")))
-    small = with_sig.where(F.col("n") <= list_rows).select("key", "doc_id", "comp", "n_shingles", sig8.alias("sig8"))
-    # a pair that shares a long list agrees on MIN_MATCHES - 1 more coordinates, hence on one of the first prefix others
-    second = with_sig.where(F.col("n") > list_rows).select("key", "doc_id", "comp", "n_shingles", "sig", F.posexplode(F.slice("sig", 1, prefix + 1)).alias("k", "v"))
-    second = second.where(F.shiftright("key", 32) != F.col("k")).select(F.xxhash64("key", "k", "v").alias("key"), "doc_id", "comp", "n_shingles", sig8.alias("sig8"))
-    crossing = second.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    second = second.join(crossing, "key")
-    pairs = _cross_pairs(small.unionByName(second)).join(stars, ["a", "b"], "left_anti")
-    more = saved(_confirmed(saved(pairs, "pairs"), docs), "links")
+    coord = F.shiftright("key", 32).cast("int")
+    # of each text, which of its coordinates have long lists
+    long = open_lists.where(F.col("n") > list_rows).groupBy("doc_id").agg(F.min("comp").alias("comp"), F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("mask"))
+    long = saved(long.join(reps, "doc_id"), "long")
+    short = open_lists.where(F.col("n") <= list_rows).join(reps, "doc_id").join(long.select("doc_id", "mask"), "doc_id", "left")
+    short = short.select("key", coord.alias("coord"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), "doc_id", "comp", "n_shingles", "sig", F.when(F.col("n") > BINNED_ROWS, F.col("bins")).alias("bins"))
+    rare = _rare_lists(long, docs).select("key", F.lit(-1).alias("coord"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
+    pairs = _cross_pairs(short.unionByName(rare)).join(stars, ["a", "b"], "left_anti")
+    pairs = saved(pairs, "pairs")
+    discard(postings, open_lists, reps, long)
+    more = saved(_confirmed(pairs, docs), "links")
     # components of the first links are joined by the later ones
     final = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "rep")
+    discard(links, more, pairs, stars, comp)
     of_class = classes.join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import bytetext as B
 from loomspark.llm.deepshallow import deep_shallow_sort
 from loomspark.llm.frames import arrow, only
-from loomspark.plans.shared import saved
+from loomspark.plans.shared import discard, saved
 
 LENGTH = 400
 GRAM = 128
@@ -216,6 +216,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     else:
         spans = _sorted_spans(contexts.drop("n"), length)
     spans = saved(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    discard(places, found, contexts)
     return _rest(docs, scan.select("doc_id", "n_bytes", "sha"), classes, spans, length, with_text)
 
 
