@@ -21,7 +21,7 @@ QUALITY_THRESHOLD = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least QUALITY_THRESHOLD; the classifier learns from the labelled ones among them."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.fit_labels(docs, labels)
     scored = quality.score(docs, model, keep=docs.columns)
     return scored.where(F.col("quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
 

@@ -25,6 +25,8 @@ from loomspark.plans.shared import saved
 WINDOW = 10
 #: Hashes that may be broadcast (about 40 bytes each in the hash relation); more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
+#: Documents with hits whose spans may be broadcast (about 100 bytes each).
+BROADCAST_SPANS = 100_000
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _APART_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -68,8 +70,8 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", id: str = "item_
     return rows.select("item_id", "n", _exact(_run("w", F.col("i"), F.col("n"))).alias("gram")).distinct()
 
 
-def _checked(df: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(df) if count <= BROADCAST_HASHES else df
+def _checked(df: DataFrame, count: int, most: int = BROADCAST_HASHES) -> DataFrame:
+    return F.broadcast(df) if count <= most else df
 
 
 def hits(docs: DataFrame, windows: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -146,7 +148,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", text: str
     if mode != "spans":
         raise ValueError("mode is documents or spans")
     spans = _merged(found).select(F.col("doc_id").alias("__hit"), F.col("spans").alias("__spans"))
-    rows = docs.join(spans, F.col(id) == F.col("__hit"), "left")
+    # few are broadcast, so that clean texts stay where they are
+    spans = saved(spans, "spans")
+    few = _checked(spans, spans.count(), BROADCAST_SPANS)
+    rows = docs.join(few, F.col(id) == F.col("__hit"), "left")
     # the text as words, and what stands before each and after the last
     words = _words(text)
     between = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

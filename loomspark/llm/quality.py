@@ -94,7 +94,20 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: fl
     return QualityModel(weight(z, n).astype(np.float32), bias)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS) -> QualityModel:
+def fit_labels(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS) -> QualityModel:
+    """Fit on at most max_rows of the documents that labels (id, label) cover; only the chosen labels meet the texts, by broadcast."""
+    rows = labels.select(F.col(id), F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates([id]).join(docs.select(id).distinct(), id, "left_semi")
+    order = F.xxhash64(F.col(id).cast("string"))
+    chosen = None
+    for y in (0, 1):
+        part = rows.where(F.col("y") == y).orderBy(order, id).limit(max_rows // 2)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    met = docs.select(id, text).join(F.broadcast(chosen), id)  # max_rows rows at most
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return fit(met, text, "y", id, max_rows, totals)
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS, totals: dict[int, int] | None = None) -> QualityModel:
     """Fit on at most max_rows labelled rows (label 0 or 1; others and null are left out)."""
     rows = labelled.select(F.col(id).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     half = max_rows // 2
@@ -113,12 +126,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str =
 
     got = sorted(((r.k or "", r.y, bytes(r.ids)) for r in arrow(chosen.select("k", "t", "y"), read, "k string, y int, ids binary").collect()), key=lambda r: r[:2])
     model = ftrl([np.frombuffer(r[2], dtype=np.int32) for r in got], np.array([r[1] for r in got], dtype=np.float64))
-    return _rebalanced(model, rows, got)
+    return _rebalanced(model, rows, got, totals)
 
 
-def _rebalanced(model: QualityModel, rows: DataFrame, got: list) -> QualityModel:
+def _rebalanced(model: QualityModel, rows: DataFrame, got: list, total: dict[int, int] | None) -> QualityModel:
     """Classes were sampled evenly; the bias gives back the share that all labels have."""
-    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = total or {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = [sum(r[1] == y for r in got) for y in (0, 1)]
     if not all(n) or len(total) < 2:
         return model

@@ -56,7 +56,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = quality.fit(docs.join(labels.where(~held), "doc_id"))
+    model = quality.fit_labels(docs, labels.where(~held))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
