@@ -9,6 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,9 +60,6 @@ def metric(name: str) -> Metric:
 
 def register_python(name: str, fn: Callable, axis_bound: bool = False) -> Metric:
     """A metric out of a vectorised Python function of two (rows x dims) float arrays."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(fn(np.stack(a.to_numpy()), np.stack(b.to_numpy())))
