@@ -40,6 +40,8 @@ MIN_MATCHES = 33
 PERCENT = 75
 #: Coordinates that are posted.
 PREFIX = COORDINATES - MIN_MATCHES + 1
+#: Numbers of a packed signature.
+WIDTH = PREFIX + (COORDINATES - PREFIX) // 2
 LIST_ROWS = 2000
 #: Rows of a list from which pairs are also compared by bins, the number of bins, and how many deviations below its mean a linked pair may lie.
 BINNED_ROWS = 16
@@ -71,24 +73,32 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """Signatures as they are stored: PREFIX whole minima, which name lists, then 16 bits of each later one, two to a number."""
+    return np.concatenate([sig[:, :PREFIX], (sig[:, PREFIX:] & 0xFFFF).astype(np.uint16).view(np.uint32)], axis=1)
+
+
 def binned(s: np.ndarray) -> bytes:
-    """One byte for each BINS-th part of the hash range: 0 if the sorted set has nothing there, else a digest of its least hash there."""
+    """Four bits for each BINS-th part of the hash range: 0 if the sorted set has nothing there, else a digest of its least hash there.
+
+    Equal least hashes have equal digests, so a pair shows at least as many equal parts as it has.
+    """
     out = np.zeros(BINS, dtype=np.uint8)
     part = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(part, prepend=-1))
-    out[part[first]] = 1 + s[first] % np.uint64(255)
-    return out.tobytes()
+    out[part[first]] = 1 + s[first] % np.uint64(15)
+    return (out[::2] | out[1::2] << 4).tobytes()
 
 
 def sketch(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_key (null: empty set), sig (array of COORDINATES ints), bins (BINS bytes) of every row."""
+    """doc_id, n_shingles, set_key (null: empty set), sig (packed, an array of ints), bins (half of BINS bytes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids = B.texts_of(b["text"]), b["doc_id"]
             for i, j in B.blocks(texts):
                 sets = shingle_sets(texts[i:j])
-                sig = iter(signatures(sets).view(np.int32))
+                sig = iter(packed(signatures(sets)).view(np.int32))
                 sigs = [next(sig) if len(s) else None for s in sets]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array([binned(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "sig", "bins"])
@@ -105,22 +115,23 @@ def _star_pairs(postings: DataFrame, reps: DataFrame) -> DataFrame:
     lead = postings.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = postings.join(lead, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, v) -> s + v)")
+    equal = lambda start, n, test: F.expr(f"aggregate(zip_with(slice(sa, {start}, {n}), slice(sb, {start}, {n}), (x, y) -> {test}), 0, (s, v) -> s + v)")
+    same = equal(1, PREFIX, "if(x = y, 1, 0)") + equal(PREFIX + 1, WIDTH - PREFIX, "if(x & 65535 = y & 65535, 1, 0) + if(shiftrightunsigned(x, 16) = shiftrightunsigned(y, 16), 1, 0)")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_lengths_fit("na", "nb")).where(same >= MIN_MATCHES).select("a", "b")
 
 
 def _matches(rows: dict[str, np.ndarray], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs inside each group (at: where groups begin) that may be linked and lie in different components."""
-    comp, n, sig, coord, mask, has, rank, bins = (rows[c] for c in ("comp", "n_shingles", "sig", "coord", "mask", "has", "rank", "bins"))
+    comp, n, head, tail, coord, mask, has, rank, bins = (rows[c] for c in ("comp", "n_shingles", "head", "tail", "coord", "mask", "has", "rank", "bins"))
 
     def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (comp[i] != comp[j]) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
         i, j = i[ok], j[ok]
-        same = sig[i] == sig[j]
-        ok = same.sum(1) >= MIN_MATCHES
+        same = head[i] == head[j]
+        ok = same.sum(1) + (tail[i] == tail[j]).sum(1) >= MIN_MATCHES
         i, j, same = i[ok], j[ok], same[ok]
         # a pair is for the first short list that it shares, and for lists by shingle only if it shares none
-        same = same[:, :PREFIX] & ((mask[i][:, None] >> np.arange(PREFIX)) & 1 == 0)
+        same &= ((mask[i][:, None] >> np.arange(PREFIX)) & 1) == 0
         ok = np.where(coord[i] < 0, ~same.any(1), same.any(1) & (same.argmax(1) == coord[i]))
         i, j = i[ok], j[ok]
         at = np.flatnonzero(has[i] & has[j])
@@ -157,11 +168,13 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     def pairs(part: pa.Table) -> pa.RecordBatch:
         key = part["key"].to_numpy()
         rows = {c: part[c].to_numpy() for c in ("doc_id", "comp", "n_shingles", "coord", "mask")}
-        rows["sig"] = np.concatenate([c.flatten().to_numpy() for c in part["sig"].chunks]).reshape(len(key), COORDINATES)
+        sig = np.concatenate([c.flatten().to_numpy() for c in part["sig"].chunks]).reshape(len(key), WIDTH)
+        rows["head"], rows["tail"] = sig[:, :PREFIX], np.ascontiguousarray(sig[:, PREFIX:]).view(np.uint16)
         got = [x for x in part["bins"].to_pylist() if x is not None]
         rows["has"] = ~np.asarray(part["bins"].is_null())
         rows["rank"] = np.cumsum(rows["has"]) - 1
-        rows["bins"] = np.frombuffer(b"".join(got), dtype=np.uint8).reshape(len(got), BINS)
+        half = np.frombuffer(b"".join(got), dtype=np.uint8).reshape(len(got), BINS // 2)
+        rows["bins"] = np.concatenate([half & 15, half >> 4], axis=1)
         at = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
         found = {(int(min(p)), int(max(p))) for i, j in _matches(rows, at) for p in zip(rows["doc_id"][i], rows["doc_id"][j], strict=True)}
         out = sorted(found)
