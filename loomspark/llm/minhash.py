@@ -200,11 +200,13 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     return arrow(lists.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
-def _rare_lists(long: DataFrame, docs: DataFrame) -> DataFrame:
-    """Lists by shingle for the texts of long coordinate lists, whatever made those long.
+def _rare_lists(long: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Lists by shingle for the texts of long coordinate lists, whatever made those long, and the saved tables behind them.
 
     A text of n shingles shares at least PERCENT of them with any that it is linked with; so if all order their shingles
     from rare to common, the two agree on one of the first n - ceil(PERCENT * n / 100) + 1. Only these are posted.
+    Shingles that no other text has come first in that order and tie nothing: they are counted, not sorted. Signatures
+    and bins join when it is known which lists hold several components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +218,14 @@ def _rare_lists(long: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = only(docs, long.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     shingles = saved(arrow(texts.select("doc_id", "text"), run, "key long, doc_id long"), "shingles")
-    often = shingles.groupBy("key").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("doc_id").orderBy("often", "key")
+    often = shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    of_text = Window.partitionBy("doc_id")
     n = F.col("n_shingles")
-    posted = shingles.join(often, "key").withColumn("place", F.row_number().over(order)).where("often > 1").join(long, "doc_id").where(F.col("place") <= n - F.ceil(n * PERCENT / 100) + 1)
-    posted = saved(posted.select("key", "mask", "doc_id", "comp", "n_shingles", "sig", "bins"), "rare")
+    shared = shingles.join(often, "key").withColumn("place", F.row_number().over(of_text.orderBy("often", "key"))).withColumn("shared", F.count("*").over(of_text))
+    first = F.col("place") + n - F.col("shared") <= n - F.ceil(n * PERCENT / 100) + 1
+    posted = saved(shared.join(long.select("doc_id", "comp", "n_shingles"), "doc_id").where(first).select("key", "doc_id", "comp"), "rare")
     mixed = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return posted.join(mixed, "key")
+    return posted.select("key", "doc_id").join(mixed, "key").join(long, "doc_id"), (shingles, posted)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -267,17 +270,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lis
 
     labelled = postings.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_lists = saved(labelled.join(mixed, "key"), "open")
-    coord = F.shiftright("key", 32).cast("int")
-    # of each text, which of its coordinates have long lists
-    long = open_lists.where(F.col("n") > list_rows).groupBy("doc_id").agg(F.min("comp").alias("comp"), F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("mask"))
-    long = saved(long.join(reps, "doc_id"), "long")
-    short = open_lists.where(F.col("n") <= list_rows).join(reps, "doc_id").join(long.select("doc_id", "mask"), "doc_id", "left")
-    short = short.select("key", coord.alias("coord"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), "doc_id", "comp", "n_shingles", "sig", F.when(F.col("n") > BINNED_ROWS, F.col("bins")).alias("bins"))
-    rare = _rare_lists(long, docs).select("key", F.lit(-1).alias("coord"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
+    # of each text, its short lists (at most PREFIX) and which of its coordinates have long ones
+    is_long = F.col("n") > list_rows
+    bit = F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")
+    of_text = labelled.join(mixed, "key").groupBy("doc_id").agg(F.min("comp").alias("comp"), F.coalesce(F.bit_or(F.when(is_long, bit)), F.lit(0).cast("long")).alias("mask"), F.collect_list(F.when(~is_long, F.struct("key", "n"))).alias("lists"))
+    members = saved(of_text.join(reps, "doc_id"), "members")
+    discard(postings, reps)
+    long = members.where("mask <> 0").drop("lists")
+    short = members.select(F.explode("lists").alias("list"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
+    short = short.select("list.key", F.shiftright("list.key", 32).cast("int").alias("coord"), "mask", "doc_id", "comp", "n_shingles", "sig", F.when(F.col("list.n") > BINNED_ROWS, F.col("bins")).alias("bins"))
+    rare, behind = _rare_lists(long, docs)
+    rare = rare.select("key", F.lit(-1).alias("coord"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
     pairs = _cross_pairs(short.unionByName(rare)).join(stars, ["a", "b"], "left_anti")
     pairs = saved(pairs, "pairs")
-    discard(postings, open_lists, reps, long)
+    discard(members, *behind)
     more = saved(_confirmed(pairs, docs), "links")
     # components of the first links are joined by the later ones
     final = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "rep")
