@@ -54,11 +54,10 @@ def test_minhash_against_brute_force(spark, list_rows):
     texts = corpus(2, 90)
     sets = [words5(t) for t in texts]
     root = list(range(len(texts)))
+    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and 100 * len(a & b) >= 75 * len(a | b)]
     for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, texts), list_rows=list_rows).collect()}
     assert got == {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
 
