@@ -2,7 +2,7 @@
 
 Each stage takes the documents that the one before kept and returns them in the columns of `documents`, the last one
 the pieces with their sequences. Nulls, empty and very long texts, repeated rows and empty tables have the results that
-the operators define.
+the operators define; documents with a null or a repeated id are documents like others, and of identical rows one goes on.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontaminate, minhash, packing, quality, suffix
-from loomspark.llm.frames import table
+from loomspark.llm.frames import numbered, table, unique
 from loomspark.llm.queries import vocabulary
 from loomspark.plans.shared import saved
 
@@ -27,21 +27,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id (null: the largest) of each group of near duplicates, and one of identical rows."""
+    if not unique(docs, "doc_id"):
+        docs = saved(docs.distinct(), "distinct")
+    rows, _ = numbered(docs, "doc_id", "__row")
+    gone = minhash.near_duplicates(rows, id="__row").where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that repeated strings cover; n_chars follows the text."""
-    kept = suffix.remove_repeats(docs, with_text=True).select("doc_id", "kept_text")
-    out = docs.drop("text").join(kept, "doc_id").withColumn("text", F.col("kept_text"))
+    kept = suffix.remove_repeats(docs, with_text=True, keep=docs.drop("text").columns)
+    out = kept.select("own.*", F.col("kept_text").alias("text"))
     return _with_length(out).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly such passages go."""
-    out = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    rows, _ = numbered(docs, "doc_id", "__row")
+    out = decontaminate.remove(rows, table(spark, sf_dir, "benchmark"), id="__row")
     return _with_length(out).select(*docs.columns)
 
 

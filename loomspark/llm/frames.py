@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.plans.shared import saved
+
 #: Rows of an Arrow batch: a batch of long texts must fit a worker's memory a few times.
 BATCH_ROWS = 500
 #: Ids that may be broadcast: 8 bytes each, so about 16 MB.
@@ -42,6 +44,25 @@ def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(fn, schema)
 
 
+def unique(df: DataFrame, id: str) -> bool:
+    """Whether each row has an id of its own, an integer."""
+    ids = df.select(F.col(id).cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return not ids.where("k is null or n > 1").limit(1).count()
+
+
+def numbered(df: DataFrame, id: str, name: str) -> tuple[DataFrame, bool]:
+    """df and name, which no two rows share and none lacks, in order of id; and whether it is the id.
+
+    Where ids are null or repeated it is a number by id (null last), written, so that it stays.
+    """
+    if unique(df, id):
+        return df.withColumn(name, F.col(id).cast("long")), True
+    # rows of one id, or without any, are dealt over the tasks by a number of their own
+    order = F.col(id).asc_nulls_last(), F.col("__nth").asc()
+    rows = df.withColumn("__nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return saved(rows.drop("__nth").withColumn(name, F.monotonically_increasing_id()), "numbered"), False
+
+
 def only(df: DataFrame, ids: DataFrame, key: str, count: int | None = None) -> DataFrame:
     """Rows of df whose key is in ids (distinct): by broadcast if they are few enough, counted first, else by a shuffled join."""
     count = ids.count() if count is None else count

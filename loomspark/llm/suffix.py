@@ -16,7 +16,7 @@ A byte goes when a LENGTH-byte string that covers it starts at another place too
 
 Defined cases: a null or empty text has no bytes and keeps its empty rest; texts shorter than LENGTH lose nothing;
 repeated rows are copies of each other and so lose all their bytes from LENGTH on; matches never cross texts.
-Ids name rows: rows that share an id are taken as one text only if they are the same.
+Each row is a text of its own: where ids are null or repeated, rows go by numbers and get their ids back at the end.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
 from loomspark.llm.deepshallow import deep_shallow_sort
-from loomspark.llm.frames import arrow, only
+from loomspark.llm.frames import arrow, numbered, only
 from loomspark.plans.shared import discard, saved
 
 LENGTH = 400
@@ -193,13 +193,14 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(rows.join(more, "key", "left_semi").select("doc_id", "a", (F.col("a") + length).alias("b")))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int | None = None, bucket_rows: int = BUCKET_ROWS, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; and kept_text (its remaining bytes, broken characters dropped) if with_text."""
+def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int | None = None, bucket_rows: int = BUCKET_ROWS, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; and kept_text (its remaining bytes, broken characters dropped) if with_text, and own (a struct of the columns keep) if keep."""
     gram = gram or min(GRAM, max(1, length // 2))
     if not 0 < gram <= length < 1 << 15:
         raise ValueError("gram must be from 1 to length, and length below 32768")
-    docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scan = saved(_scan(docs, length, gram), "anchors")
+    own = [F.struct(*keep).alias("own")] if keep else []
+    docs, is_id = numbered(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *own), "id", "doc_id")
+    scan = saved(_scan(docs.select("doc_id", "text"), length, gram), "anchors")
     classes = scan.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = saved(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "sha")
@@ -207,7 +208,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     places = saved(places, "places")
     more = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     found = saved(places.join(more, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place", "n")).alias("found")), "found")
-    texts = only(docs, found.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(found, "doc_id")
+    texts = only(docs.select("doc_id", "text"), found.select("doc_id"), "doc_id").join(found, "doc_id")
     contexts = _contexts(texts.select("doc_id", "text", "found"), length)
     hot = more.where(F.col("n") > bucket_rows)
     if hot.limit(1).count():
@@ -217,7 +218,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
         spans = _sorted_spans(contexts.drop("n"), length)
     spans = saved(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     discard(places, found, contexts)
-    return _rest(docs, scan.select("doc_id", "n_bytes", "sha"), classes, spans, length, with_text)
+    out = _rest(docs.select("doc_id", "text"), scan.select("doc_id", "n_bytes", "sha"), classes, spans, length, with_text)
+    # one row of docs to each row
+    extra = ["text"] * with_text + ["own"] * bool(keep)
+    if extra or not is_id:
+        out = out.join(docs.select("doc_id", "id", *extra), "doc_id").withColumn("doc_id", F.col("id")).drop("id")
+    if with_text:
+        out = out.withColumn("kept_text", F.coalesce("cut_text", F.col("text"), F.lit(""))).drop("cut_text", "text")
+    return out
 
 
 def _rest(docs: DataFrame, scan: DataFrame, classes: DataFrame, spans: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -246,9 +254,9 @@ def _rest(docs: DataFrame, scan: DataFrame, classes: DataFrame, spans: DataFrame
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], ["doc_id", "removed", "spans", "kept_sha", "kept"])
 
-    cut = arrow(cut.select("doc_id", "text", "spans"), run, "doc_id long, removed long, spans long, kept_sha string, kept string").dropDuplicates(["doc_id"])
+    cut = arrow(cut.select("doc_id", "text", "spans"), run, "doc_id long, removed long, spans long, kept_sha string, kept string")
     all_ = rows.join(cut, "doc_id", "left")
-    out = all_.select(
+    return all_.select(
         "doc_id",
         "n_bytes",
         F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -256,6 +264,3 @@ def _rest(docs: DataFrame, scan: DataFrame, classes: DataFrame, spans: DataFrame
         F.when(F.col("copied"), F.lit(gone)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         *([F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept")).alias("cut_text")] if with_text else []),
     )
-    if not with_text:
-        return out
-    return out.join(docs.dropDuplicates(["doc_id"]), "doc_id").withColumn("kept_text", F.coalesce("cut_text", F.col("text"), F.lit(""))).drop("cut_text", "text")

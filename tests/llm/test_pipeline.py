@@ -22,3 +22,25 @@ def test_stages(spark, tmp_path):
         assert not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9))
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_null_and_repeated_ids(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    passage = max((r["text"] or "" for r in bench.collect()), key=len)
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    shared = text("shared", 80)
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (2, text(2)), (2, text(3)), (None, text(4)), (None, text(4)), (None, text(5) + " five " + shared), (None, text(6) + " six " + shared), (7, text(1)), (None, text(2)), (None, text(8, 400) + " " + passage), (9, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id int, text string, lang string, source string, n_chars long")
+    order = lambda found: sorted(found, key=lambda r: (str(r[0]), str(r[1])))
+    read = lambda df: order((r["doc_id"], r["text"]) for r in df.collect())
+    near = pipeline.near_duplicate_stage(spark, docs, SF)
+    left = [rows[i] for i in (0, 3, 4, 5, 7, 8, 11, 12, 13)]
+    assert read(near) == order(left)
+    repeats = pipeline.repeated_passage_stage(spark, near, SF)
+    assert repeats.dtypes == docs.dtypes
+    ends = lambda t: t.replace(" " + shared, "") if t else ""
+    assert read(repeats) == order((i, ends(t)) for i, t in left)
+    # identical rows are copies of each other there, each with a row of its own
+    assert pipeline.repeated_passage_stage(spark, docs, SF).count() == len(rows)
+    clean = {r["text"] for r in pipeline.benchmark_stage(spark, repeats, SF).collect()}
+    assert text(4) in clean and not any(passage in t for t in clean)
