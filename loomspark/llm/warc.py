@@ -10,8 +10,8 @@ Reading: records are parsed; those in segments are grouped by origin identifier,
 gaps and against the total length, and joined; then the HTTP head is cut off and the chunks are decoded; the payload's
 digest is compared with the header's.
 
-Defined cases: a null or empty page has an empty payload (equal to other empty ones); repeated rows are equal payloads;
-pages that share an id and payload write one record; an empty table gives no record. Damaged records raise an error.
+Defined cases: a null or empty page has an empty payload (equal to other empty ones); repeated rows are equal payloads,
+each with a record and a record id of its own; a null page id is left out of the headers; an empty table gives no record. Damaged records raise an error.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
-from loomspark.llm.frames import arrow
+from loomspark.llm.frames import arrow, numbered
 from loomspark.plans.shared import saved
 
 SEGMENT_BYTES = 32_768
@@ -40,8 +40,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{segment}')}>"
+def record_id(row: int, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{row}/{segment}')}>"
+
+
+def _page(name: str, page_id: int | None) -> dict[str, str]:
+    return {} if page_id is None else {name: str(page_id)}
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -68,25 +72,25 @@ def record(kind: str, rid: str, headers: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def response_records(page_id: int, url: str, payload: bytes, payload_digest: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
+def response_records(row: int, page_id: int | None, url: str, payload: bytes, payload_digest: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    about = {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{payload_digest}", "X-Page-ID": str(page_id), "Content-Type": "application/http;msgtype=response"}
+    about = {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{payload_digest}", **_page("X-Page-ID", page_id), "Content-Type": "application/http;msgtype=response"}
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     if len(parts) == 1:
-        return [record("response", record_id(page_id), about, block)]
-    out = [record("response", record_id(page_id), about | {"WARC-Segment-Number": "1"}, parts[0])]
+        return [record("response", record_id(row), about, block)]
+    out = [record("response", record_id(row), about | {"WARC-Segment-Number": "1"}, parts[0])]
     for k, part in enumerate(parts[1:], 2):
-        more = {"WARC-Segment-Number": str(k), "WARC-Segment-Origin-ID": record_id(page_id)}
+        more = {"WARC-Segment-Number": str(k), "WARC-Segment-Origin-ID": record_id(row)}
         if k == len(parts):
             more["WARC-Segment-Total-Length"] = str(len(block))
-        out.append(record("continuation", record_id(page_id, k), more, part))
+        out.append(record("continuation", record_id(row, k), more, part))
     return out
 
 
-def revisit_record(page_id: int, url: str, size: int, payload_digest: str, refers_to: int) -> bytes:
+def revisit_record(row: int, page_id: int | None, url: str, size: int, payload_digest: str, refers_to: int, refers_to_page: int | None) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    about = {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{payload_digest}", "X-Page-ID": str(page_id), "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": str(refers_to), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-    return record("revisit", record_id(page_id), about, block)
+    about = {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{payload_digest}", **_page("X-Page-ID", page_id), "WARC-Refers-To": record_id(refers_to), **_page("X-Refers-To-Page-ID", refers_to_page), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    return record("revisit", record_id(row), about, block)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -124,29 +128,24 @@ def reassemble(parts: list[tuple[int, int | None, bytes]]) -> bytes:
 def write_archives(pages: DataFrame, text: str = "html", id: str = "page_id", url: str = "url", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The archive table of pages, written."""
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("body"))
-    rows = rows.withColumn("sha", F.sha1("body"))
-    winners = rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # ids and digests of repeated payloads; few are broadcast, else texts are shuffled by page, never by payload
-    roles = saved(rows.select("page_id", "sha").distinct().join(winners, "sha").select("page_id", "sha", "first"), "roles")
-    repeated = rows.join(F.broadcast(roles) if roles.count() <= BROADCAST_ROLES else roles, ["page_id", "sha"], "left")
+    rows = numbered(rows, "page_id", "row")[0].withColumn("sha", F.sha1("body"))
+    winners = rows.groupBy("sha").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # ids and digests of repeated payloads; few are broadcast, else texts are shuffled by row, never by payload
+    roles = saved(rows.select("row", "sha").join(winners, "sha").select("row", F.col("first.row").alias("first"), F.col("first.page_id").alias("first_page")), "roles")
+    repeated = rows.join(F.broadcast(roles) if roles.count() <= BROADCAST_ROLES else roles, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
-        seen: set[tuple[int, str]] = set()
         for b in batches:
             archive, out = b["archive"].to_pylist(), []
-            for page, link, body, sha, first in zip(*(b[c].to_pylist() for c in ("page_id", "url", "body", "sha", "first")), strict=True):
-                if (page, sha) in seen:
-                    continue
-                if first is not None:
-                    seen.add((page, sha))
+            for row, page, link, body, sha, first, first_page in zip(*(b[c].to_pylist() for c in ("row", "page_id", "url", "body", "sha", "first", "first_page")), strict=True):
                 named = base64.b32encode(bytes.fromhex(sha)).decode()
                 link = link.replace("\r", "%0D").replace("\n", "%0A")
-                out += response_records(page, link, body, named, segment_bytes) if first is None or first == page else [revisit_record(page, link, len(body), named, first)]
+                out += response_records(row, page, link, body, named, segment_bytes) if first is None or first == row else [revisit_record(row, page, link, len(body), named, first, first_page)]
             yield pa.RecordBatch.from_arrays([pa.array(archive[:1] * len(out), pa.int32()), pa.array(range(seq, seq + len(out)), pa.int64()), pa.array(out, pa.binary())], ["archive", "seq", "data"])
             seq += len(out)
 
-    rows = repeated.select("page_id", "url", "body", "sha", "first", F.spark_partition_id().alias("archive"))
+    rows = repeated.select("row", "page_id", "url", "body", "sha", "first", "first_page", F.spark_partition_id().alias("archive"))
     return saved(arrow(rows, run, "archive int, seq long, data binary"), "archives")
 
 

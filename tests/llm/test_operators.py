@@ -200,6 +200,21 @@ def test_warc_round_trip(spark, segment_bytes):
         warc.reassemble([(1, None, b"a"), (2, 9, b"b")])
 
 
+def test_warc_repeated_and_null_pages(spark):
+    rows = [(1, "a" * 900), (1, "a" * 900), (2, "b"), (2, "b"), (2, "c"), (None, "d" * 900), (None, "d" * 900), (None, "e"), (5, "e"), (6, None)]
+    pages = spark.createDataFrame([(i, "http://x/", h) for i, h in rows], "page_id long, url string, html string")
+    want = Counter((i, warc.digest((h or "").encode())) for i, h in rows)
+    for parts in (1, 6):
+        archives = warc.write_archives(pages.repartition(parts), segment_bytes=300)
+        got = warc.read_archives(archives).collect()
+        assert Counter((r["page_id"], r["payload_digest"]) for r in got) == want
+        whole = [r for r in got if r["record_type"] == "response"]
+        assert len(whole) == len({r["payload_digest"] for r in got}) == len({r["payload_digest"] for r in whole})
+        assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(1, 1), (2, 2), (None, None), (None, 5)}
+        ids = [h["warc-record-id"] for r in archives.collect() for h, _ in warc.parse(bytes(r["data"]))]
+        assert len(ids) == len(set(ids))
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_pieces_equal_whole_texts(name, spaced):
     rng = random.Random(8)
