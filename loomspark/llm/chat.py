@@ -11,6 +11,11 @@ own. A window is its span after the first system turn and at most HISTORY turns
 history room, nearest first). What is repeated is masked: the loss covers the assistant texts of the span only, so each
 is a target once. A turn longer than the room stands alone, uncut.
 
+A window keeps the budget: what the span and the system turn take is taken off the room for history, and a system turn
+of over half of the budget narrows the room for spans. If it would leave less than a quarter of the budget, it narrows
+nothing and is repeated only before spans that it fits the budget with. Only a turn that alone is over the budget
+exceeds it, and nothing is repeated before it.
+
 Defined cases: null text or role: empty; null conv_id: a conversation of its own; repeated rows are turns each; an empty
 table gives no windows.
 """
@@ -45,7 +50,6 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("conv_id", "turn", "role", "text", escape(F.col("text")).alias("body"), F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)).alias("head"))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(CLOSE))).withColumn("tokens", turn_tokens(F.col("piece")))
-    room, back = budget // 2, budget // 4  # for the span, and for history; the system turn has the rest
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     item = F.struct("piece", "tokens")
@@ -55,6 +59,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
         "system": F.first(F.when(F.col("role") == "system", F.struct(item.alias("item"), F.col("turn").alias("turn"))), ignorenulls=True).over(so_far)["item"],
         "past": F.array(*[F.lag(F.struct(item.alias("item"), (F.col("role") == "system").alias("is_system"))).over(order) if k == 1 else F.lag(F.struct(item.alias("item"), (F.col("role") == "system").alias("is_system")), k).over(order) for k in range(1, history + 1)]) if history else F.array().cast("array<struct<item:struct<piece:string,tokens:bigint>,is_system:boolean>>"),
     })
+    # for the span: half of the budget, or what the conversation's system turn leaves
+    over_all = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = budget - F.first(F.when(F.col("role") == "system", F.col("tokens")), ignorenulls=True).over(over_all)
+    rows = rows.withColumn("room", F.when(left >= max(budget // 4, 1), F.least(left, F.lit(budget // 2))).otherwise(budget // 2))
+    room = F.col("room")
     cell = F.floor(F.col("before") / room)
     end_cell = F.floor((F.col("before") + F.col("tokens") - 1) / room)
     rows = rows.withColumns({"cell": end_cell, "across": cell != end_cell})
@@ -66,17 +75,21 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
     spans = rows.groupBy("conv_id", "span").agg(
         F.array_sort(F.collect_list(F.struct("pos", "role", "head", "body", "piece", "tokens"))).alias("turns"),
         F.min_by(F.struct("system", "past"), "pos").alias("lead"),
+        (budget - F.sum("tokens")).alias("left"),
     )
+    with_system = F.coalesce(F.col("lead.system.tokens") <= F.col("left"), F.lit(False))
+    spans = spans.withColumn("with_system", with_system)
+    spans = spans.withColumn("back", F.least(F.lit(budget // 4), F.col("left") - F.when(F.col("with_system"), F.col("lead.system.tokens")).otherwise(0)))
     # nearest turns first, as long as they fit; the system turn is retained apart
     empty = F.array().cast("array<struct<piece:string,tokens:bigint>>")
     usable = F.transform(F.filter("lead.past", lambda x: x.isNotNull() & ~x["is_system"]), lambda x: x["item"])
     taken = F.aggregate(
         usable,
         F.struct(empty.alias("items"), F.lit(0).cast("long").alias("sum"), F.lit(True).alias("go")),
-        lambda acc, x: F.when(acc["go"] & (acc["sum"] + x["tokens"] <= back), F.struct(F.concat(F.array(x), acc["items"]).alias("items"), (acc["sum"] + x["tokens"]).alias("sum"), F.lit(True).alias("go"))).otherwise(F.struct(acc["items"].alias("items"), acc["sum"].alias("sum"), F.lit(False).alias("go"))),
+        lambda acc, x: F.when(acc["go"] & (acc["sum"] + x["tokens"] <= F.col("back")), F.struct(F.concat(F.array(x), acc["items"]).alias("items"), (acc["sum"] + x["tokens"]).alias("sum"), F.lit(True).alias("go"))).otherwise(F.struct(acc["items"].alias("items"), acc["sum"].alias("sum"), F.lit(False).alias("go"))),
         lambda acc: acc["items"],
     )
-    spans = spans.withColumn("repeated", F.concat(F.when(F.col("lead.system").isNotNull(), F.array(F.col("lead.system"))).otherwise(empty), taken))
+    spans = spans.withColumn("repeated", F.concat(F.when(F.col("with_system"), F.array(F.col("lead.system"))).otherwise(empty), taken))
     lead_text = F.array_join(F.transform("repeated", lambda x: x["piece"]), "")
     spans = spans.withColumn("lead_text", lead_text)
     start = F.struct(F.length("lead_text").cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))

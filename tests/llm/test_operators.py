@@ -161,6 +161,24 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.where("false")).count() == 0
 
 
+def test_chat_budget(spark):
+    turns, system = [], {}
+    for c, n in enumerate((0, 40, 100, 130, 180, 200, 230, 300)):
+        system[c] = n
+        turns += [(c, 0, "system", "s" * max(4 * n - 17, 0))] + [(c, t, "assistant" if t % 2 else "user", "x" * (37 * t % 150 + 4 * 70 * (t == 9))) for t in range(1, 25)]
+    turns.append((99, 0, "user", "long " * 3000))
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    w = chat.windows(df, budget=256)
+    rows = w.collect()
+    assert all(r["n_tokens"] <= 256 or (r["n_turns"] == 1 and not r["n_repeated"]) for r in rows)
+    # a system turn that leaves room goes before all later spans that it fits with
+    for r in rows:
+        if r["first_turn"] > 0 and system[r["conv_id"]] <= 180 and r["n_turns"] > 1:
+            assert r["formatted"].startswith("<s>system")
+    read = sorted((r["conv_id"], r["first_turn"], [tuple(t) for t in r["turns"]]) for r in chat.read_back(w).collect())
+    assert [(c, *t) for c, _, own in read for t in own] == [(c, role, text) for c, _, role, text in sorted(turns)]
+
+
 def test_media_round_trip(spark):
     texts = corpus(5, 25)
     videos = media.encode_videos(docs(spark, texts))
