@@ -2,14 +2,15 @@
 
 Texts whose shingle sets are equal are one class from the start; its smallest id stands for it. Each representative
 has a signature of COORDINATES minima. A pair at the similarity threshold agrees on at least MIN_MATCHES of them
-(but for a chance below 1e-5), so it agrees on one of the first COORDINATES - MIN_MATCHES + 1: only that prefix is
+(but for a chance of 1.46e-5), so it agrees on one of the first COORDINATES - MIN_MATCHES + 1: only that prefix is
 posted under (coordinate, value), and the coordinates after it are skipped in the lists and read from the signatures.
 
 The pairs of a list are never written out. First, each list is tied to its smallest id: these star pairs are counted,
 those with enough matches are confirmed on the full sets, and components are formed. Lists that lie in one
 component are then done, as are all large groups of true copies. In the rest, pairs from different components are
 matched inside the task and only those with enough matches leave it; in lists of more than BINNED_ROWS these are also
-compared by one-permutation bins, which for such set sizes are close to the sets themselves. They are confirmed too. The texts of a list longer
+compared by one-permutation bins, which for such set sizes are close to the sets themselves; a linked pair is below the bound there with a chance of about 3.4e-6 (normal tail), so a pair at
+just the threshold is dropped with a chance of at most about 1.8e-5 in all. They are confirmed too. The texts of a list longer
 than LIST_ROWS, such as that of a line that very many texts hold, are matched over their rarest shingles instead, of
 which linked texts must share one; no list is cut or left out. Links that are confirmed connect exactly the components of the full similarity graph.
 
