@@ -23,11 +23,8 @@ def bounding_box(points: DataFrame) -> DataFrame:
 
 
 def _bounds(points: DataFrame) -> tuple[list[float], list[float]]:
-    _, dims, _ = profile(points)
-    if not dims:
-        return [], []
-    row = points.agg(*[f(F.col("coords")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(dims)]).first()
-    return list(row[:dims]), list(row[dims:])
+    p = profile(points)
+    return list(p.lower), list(p.upper)
 
 
 def _children(lo: list[float], hi: list[float], eps: float, splits: int) -> list[tuple[list[float], list[float]]]:

@@ -92,17 +92,24 @@ def core_points(spark, sf_dir):
     return nb.neighbor_counts(_events(spark, sf_dir), EPS, min_points=MIN_POINTS).where("is_core").select("point_id", "n_neighbors")
 
 
-def core_edges(spark, sf_dir):
+def _core(spark, sf_dir):
+    """Neighbour search and core points of events, each at its own place or not."""
     pts = _events(spark, sf_dir)
-    core = core_points(spark, sf_dir).select("point_id")
-    pairs = nb.neighbor_pairs(pts, EPS)
-    return pairs.join(core.withColumnRenamed("point_id", "id_a"), "id_a", "left_semi").join(core.withColumnRenamed("point_id", "id_b"), "id_b", "left_semi").select("id_a", "id_b")
+    s = nb.search(pts, EPS)
+    return pts, s, labels.counted_places(pts, s, ClusterSettings(EPS, MIN_POINTS)).where("is_core")
+
+
+def core_edges(spark, sf_dir):
+    pts, s, core = _core(spark, sf_dir)
+    points_of = nb.at_places(pts, core.select("loc", "weight", "coords"), s.dims)
+    return nb.neighbor_pairs(points_of.select("point_id", "coords"), EPS).select("id_a", "id_b")
 
 
 def components(spark, sf_dir):
-    core = core_points(spark, sf_dir).select("point_id")
-    found = connected_components(core_edges(spark, sf_dir), "id_a", "id_b").withColumnRenamed("node", "point_id")
-    return core.join(found, "point_id", "left").select("point_id", F.coalesce("component", "point_id").alias("component"))
+    pts, s, core = _core(spark, sf_dir)
+    clusters, _, _ = labels.core_clusters(core, s)
+    found = clusters.select("loc", F.lit(1).alias("weight"), "coords", F.col("cluster").alias("component"))
+    return nb.at_places(pts, found, s.dims).select("point_id", "component")
 
 
 def _labelled(spark, sf_dir, view=_events, **given):
@@ -133,8 +140,7 @@ def predict_labels(spark, sf_dir):
     from loomspark.plans.shared import saved
 
     pts, s = _events(spark, sf_dir), ClusterSettings(EPS, MIN_POINTS)
-    test = (F.col("point_id") - 1) % 10 == 0
-    return labels.predict(saved(labels.label(pts.where(~test), s), "labelled"), pts.where(test), s)
+    return labels.predict(saved(labels.label(pts, s), "labelled"), pts, s)
 
 
 VEC = {"view": _vectors, "eps": 1.15, "min_points": 3}
@@ -225,9 +231,9 @@ ORACLES = {
     "noise_points": _cte() + "SELECT point_id, n_neighbors FROM out WHERE cluster_id=0",
     "clustered_points": _cte() + "SELECT point_id, cluster_id FROM out WHERE cluster_id<>0",
     "cluster_summary": _cte() + "SELECT cluster_id, count(*) AS n_points, count(*) FILTER (is_core) AS n_core, count(*) FILTER (is_border) AS n_border FROM out GROUP BY cluster_id",
-    "predict_labels": _cte(f"SELECT * FROM ({EVENTS}) WHERE (id-1)%10<>0") + f""", l AS MATERIALIZED (SELECT t.cluster_id, p.x, p.y FROM out t JOIN p ON p.id=t.point_id),
-qp AS (SELECT * FROM ({EVENTS}) WHERE (id-1)%10=0),
-g AS (SELECT qp.id, l.cluster_id, count(*) n FROM qp JOIN l ON sqrt((qp.x-l.x)*(qp.x-l.x)+(qp.y-l.y)*(qp.y-l.y)) <= {EPS} GROUP BY ALL),
+    "predict_labels": _cte() + f""", l AS MATERIALIZED (SELECT t.cluster_id, p.x, p.y FROM out t JOIN p ON p.id=t.point_id),
+qp AS (SELECT * FROM ({EVENTS})),
+g AS (SELECT qp.id, l.cluster_id, count(*) n FROM qp JOIN l ON l.x BETWEEN qp.x-{EPS} AND qp.x+{EPS} AND sqrt((qp.x-l.x)*(qp.x-l.x)+(qp.y-l.y)*(qp.y-l.y)) <= {EPS} GROUP BY ALL),
 a AS (SELECT id, min(cluster_id) FILTER (cluster_id<>0 AND n>={MIN_POINTS}-1) AS strong, min(cluster_id) FILTER (cluster_id<>0) AS anyc, coalesce(max(n) FILTER (cluster_id=0),0) AS noise FROM g GROUP BY id)
 SELECT qp.id AS point_id, CASE WHEN strong IS NOT NULL THEN strong WHEN anyc IS NOT NULL THEN anyc WHEN coalesce(noise,0)>={MIN_POINTS}-1 THEN -1 ELSE 0 END AS cluster_id FROM qp LEFT JOIN a USING(id)""",
     "manhattan_labels": _cte(metric="manhattan") + _LABELS,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +49,29 @@ def write_csv(labelled: DataFrame, path: str) -> None:
     labelled.select(F.concat_ws(SEPARATOR, F.transform("coords", lambda x: x.cast("string")), F.col("cluster_id").cast("string"))).write.mode("errorifexists").text(path)
 
 
-def profile(df: DataFrame) -> tuple[int, int, list[float]]:
-    """Rows, dimensionality, and each coordinate's variance; in two small aggregations. Rows of different lengths are an error."""
-    row = df.agg(F.count("*").alias("n"), F.min(F.size("coords")).alias("lo"), F.max(F.size("coords")).alias("hi")).first()
-    if not row["n"]:
-        return 0, 0, []
+@dataclass(frozen=True)
+class Profile:
+    """Rows, and each coordinate's variance, least and largest value."""
+
+    rows: int
+    variance: tuple[float, ...] = ()
+    lower: tuple[float, ...] = ()
+    upper: tuple[float, ...] = ()
+
+    @property
+    def dims(self) -> int:
+        return len(self.variance)
+
+
+def profile(df: DataFrame) -> Profile:
+    """In one aggregation, once the first row has said how many coordinates there are. Rows of different lengths are an error."""
+    first = df.select(F.size("coords").alias("n")).head(1)
+    if not first:
+        return Profile(0)
+    n = first[0]["n"]
+    each = [f(F.get("coords", F.lit(i))).alias(f"{f.__name__}{i}") for f in (F.var_pop, F.min, F.max) for i in range(n)]
+    row = df.agg(F.count("*").alias("rows"), F.min(F.size("coords")).alias("lo"), F.max(F.size("coords")).alias("hi"), *each).first()
     if row["lo"] != row["hi"] or not row["hi"]:
         raise ValueError(f"points have from {row['lo']} to {row['hi']} coordinates")
-    spread = df.agg(*[F.var_pop(F.col("coords")[i]).alias(f"v{i}") for i in range(row["hi"])]).first()
-    return row["n"], row["hi"], [float(x) for x in spread]
+    values = [float(x) for x in row[3:]]
+    return Profile(row["rows"], tuple(values[:n]), tuple(values[n : 2 * n]), tuple(values[2 * n :]))
