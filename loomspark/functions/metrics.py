@@ -54,6 +54,22 @@ def _chebyshev(d: list[Column]) -> Column:
     return F.greatest(*[F.abs(x) for x in d]) if len(d) > 1 else F.abs(d[0])
 
 
+#: Fixed value: how far apart numbers may be that count as equal.
+TOLERANCE = 1e-10
+
+
+def almost_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+    return F.abs(a - b) <= tolerance
+
+
+def almost_at_least(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+    return (a > b) | almost_equal(a, b, tolerance)
+
+
+def almost_at_most(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+    return (a < b) | almost_equal(a, b, tolerance)
+
+
 _registry: dict[str, Metric] = {}
 
 

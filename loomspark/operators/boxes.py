@@ -1,110 +1,208 @@
-"""Bounding boxes, density boxes and what is made of them.
+"""Intervals and boxes, density boxes and what is made of them.
 
-A tree of boxes halves the longest side (the first of equal ones) of each box, so a point's way down the tree is plain
-arithmetic on its coordinates; counting all boxes is one aggregation over the points, and the tree, whose size the
-settings bound, is on the driver.
+A tree of boxes parts the longest side (the first of equal ones) of each box. All boxes of a level have equal sides, so
+each level has one axis, and the edges on an axis are the same for all boxes: a point's way down the tree is its place
+among each axis's edges, plain arithmetic on its coordinates. Counting all boxes is one aggregation over the points, and
+the tree, whose size the settings bound, is on the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.settings import BoxSettings
-from loomspark.sources.points import profile
+from loomspark.sources.points import Profile, profile
 
 SCHEMA = "path string, lvl int, lo array<double>, hi array<double>, n_points long"
+#: Leaves of a tree that may be broadcast (about 100 bytes each).
+BROADCAST_LEAVES = 1 << 16
+Box = tuple[list[float], list[float]]
 
 
-def bounding_box(points: DataFrame) -> DataFrame:
-    """(dim from 0, lower, upper, n_points), a row by coordinate; no rows without points."""
-    each = points.select(F.posexplode("coords").alias("dim", "x"))
-    return each.groupBy("dim").agg(F.min("x").alias("lower"), F.max("x").alias("upper"), F.count("*").alias("n_points"))
+# intervals [lower, upper], as Columns
 
 
-def _bounds(points: DataFrame) -> tuple[list[float], list[float]]:
-    p = profile(points)
-    return list(p.lower), list(p.upper)
+def length(lower: Column, upper: Column) -> Column:
+    return upper - lower
 
 
-def _children(lo: list[float], hi: list[float], eps: float, splits: int) -> list[tuple[list[float], list[float]]]:
-    sizes = [h - a for a, h in zip(lo, hi, strict=True)]
-    axis = sizes.index(max(sizes))
-    step = sizes[axis] / splits
-    if min(step if i == axis else s for i, s in enumerate(sizes)) < 2 * eps:
-        return []
-    edges = [lo[axis] + k * step for k in range(splits)] + [hi[axis]]
-    put = lambda row, x: [*row[:axis], x, *row[axis + 1 :]]
-    return [(put(lo, a), put(hi, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def extended(lower: Column, upper: Column, by: Column) -> tuple[Column, Column]:
+    """The interval grown by half of `by` on each side."""
+    return lower - by / 2, upper + by / 2
 
 
-def _tree(lo: list[float], hi: list[float], eps: float, s: BoxSettings) -> dict[tuple[int, ...], tuple[list[float], list[float]]]:
-    out = {(): (lo, hi)}
-    level = [((), lo, hi)]
-    for _ in range(s.levels):
-        level = [((*p, k), *box) for p, a, b in level for k, box in enumerate(_children(a, b, eps, s.splits))]
-        out |= {p: (a, b) for p, a, b in level}
-    return out
+def hull(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The least interval that holds both."""
+    return F.least(a[0], b[0]), F.greatest(a[1], b[1])
+
+
+def interval_contains(x: Column, lower: Column, upper: Column, upper_inclusive: Column | bool = False) -> Column:
+    closed = F.lit(upper_inclusive) if isinstance(upper_inclusive, bool) else upper_inclusive
+    return (x >= lower) & ((x < upper) | (closed & (x == upper)))
+
+
+def split_interval(lower: Column, upper: Column, n: int, min_length: float | None = None) -> Column:
+    """An array of n equal pieces (lower, upper, upper_inclusive: of the last only); at most as many as have about min_length, one at least."""
+    most = F.lit(n) if not min_length else F.greatest(F.lit(1), F.least(F.lit(n), F.floor((upper - lower) / min_length + 0.5).cast("int")))
+    edge = lambda k: lower + k * (upper - lower) / most
+    return F.transform(F.sequence(F.lit(0), most - 1), lambda k: F.struct(edge(k).alias("lower"), F.when(k == most - 1, upper).otherwise(edge(k + 1)).alias("upper"), (k == most - 1).alias("upper_inclusive")))
+
+
+# boxes with arrays lo and hi
+
+
+def box_contains(coords: Column, lo: Column, hi: Column, dims: int, upper_inclusive: bool = True) -> Column:
+    return reduce(lambda a, b: a & b, [interval_contains(coords[i], lo[i], hi[i], upper_inclusive) for i in range(dims)])
+
+
+def around(points: DataFrame, size: float) -> DataFrame:
+    """points with lo and hi of the box of the given side around each."""
+    return points.withColumns({"lo": F.transform("coords", lambda x: x - size / 2), "hi": F.transform("coords", lambda x: x + size / 2)})
+
+
+def embracing(boxes: DataFrame, dims: int) -> DataFrame:
+    """One row, lo and hi: the least box that holds all boxes; null without any."""
+    side = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(dims)])
+    return boxes.agg(side(F.min, "lo").alias("lo"), side(F.max, "hi").alias("hi"))
+
 
+def centre(dims: int) -> Column:
+    return F.array(*[F.col("lo")[i] + (F.col("hi")[i] - F.col("lo")[i]) / 2 for i in range(dims)])
 
-def leaf_path(lo: list[float], hi: list[float], eps: float, s: BoxSettings) -> Column:
-    """The numbers of the boxes that hold a point, from the root down: the tree's arithmetic on the column coords."""
-    doubles = lambda x: F.array(*[F.lit(float(v)) for v in x])
-    start = F.struct(doubles(lo).alias("lo"), doubles(hi).alias("hi"), F.array().cast("array<int>").alias("path"), F.lit(True).alias("go"))
 
-    def step(acc: Column, _: Column) -> Column:
-        sizes = F.zip_with(acc["hi"], acc["lo"], lambda h, a: h - a)
-        axis = F.array_position(sizes, F.array_max(sizes)).cast("int")
-        low, width = F.element_at(acc["lo"], axis), F.array_max(sizes) / s.splits
-        rest = F.transform(sizes, lambda x, i: F.when(i + 1 == axis, width).otherwise(x))
-        go = acc["go"] & (F.array_min(rest) >= 2 * eps)
-        x = F.element_at(F.col("coords"), axis)
-        k = sum(((x >= low + j * width).cast("int") for j in range(1, s.splits)), F.lit(0))
-        a = F.transform(acc["lo"], lambda v, i: F.when(i + 1 == axis, low + k * width).otherwise(v))
-        b = F.transform(acc["hi"], lambda v, i: F.when((i + 1 == axis) & (k < s.splits - 1), low + (k + 1) * width).otherwise(v))
-        moved = F.struct(a.alias("lo"), b.alias("hi"), F.concat(acc["path"], F.array(k)).alias("path"), go.alias("go"))
-        return F.when(go, moved).otherwise(F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"), acc["path"].alias("path"), go.alias("go")))
+def by_centre(boxes: DataFrame, dims: int) -> DataFrame:
+    """Boxes and their centre, in order of it."""
+    return boxes.withColumn("centre", centre(dims)).orderBy("centre")
 
-    if not s.levels:
-        return F.array().cast("array<int>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(s.levels)), start, step, lambda acc: acc["path"])
 
+def bounding_box(points: DataFrame) -> DataFrame:
+    """(dim from 0, lower, upper, n_points), a row by coordinate; no rows without points."""
+    each = points.select(F.posexplode("coords").alias("dim", "x"))
+    return each.groupBy("dim").agg(F.min("x").alias("lower"), F.max("x").alias("upper"), F.count("*").alias("n_points"))
 
-def _name(path: Column, n: Column | None = None) -> Column:
-    parts = path if n is None else F.slice(path, 1, n)
-    return F.concat(F.lit("0"), F.array_join(F.transform(parts, lambda x: x.cast("string")), ""))
 
+def equal_grid(lo: list[float], hi: list[float], most: int, min_side: float) -> list[Box]:
+    """A box in equal parts: each side in at most `most`, none shorter than min_side (at least one part)."""
+    out: list[Box] = [([], [])]
+    for a, b in zip(lo, hi, strict=True):
+        n = max(1, min(most, int((b - a) / min_side + 0.5) if min_side > 0 else most))
+        edges = [a + k * (b - a) / n for k in range(n)] + [b]
+        out = [([*x, c], [*y, d]) for x, y in out for c, d in zip(edges[:-1], edges[1:], strict=True)]
+    return out
 
-def density_boxes(points: DataFrame, eps: float, settings: BoxSettings = BoxSettings()) -> DataFrame:
+
+# the tree
+
+
+@dataclass(frozen=True)
+class Tree:
+    """axes: the axis that each level parts. edges: of each axis, after all levels."""
+
+    axes: tuple[int, ...]
+    edges: tuple[tuple[float, ...], ...]
+    splits: int
+
+    @staticmethod
+    def grow(lo: list[float], hi: list[float], eps: float, s: BoxSettings) -> Tree:
+        """Levels go on while every side of the parts is 2 * eps at least."""
+        edges, axes = [[a, b] for a, b in zip(lo, hi, strict=True)], []
+        for _ in range(s.levels):
+            sizes = [e[1] - e[0] for e in edges]
+            axis = sizes.index(max(sizes))
+            if min(x / s.splits if i == axis else x for i, x in enumerate(sizes)) < 2 * eps:
+                break
+            parted = [[a + k * ((b - a) / s.splits) for k in range(s.splits)] for a, b in zip(edges[axis][:-1], edges[axis][1:], strict=True)]
+            edges[axis] = [x for part in parted for x in part] + [edges[axis][-1]]
+            axes.append(axis)
+        return Tree(tuple(axes), tuple(map(tuple, edges)), s.splits)
+
+    def _turn(self, level: int) -> int:
+        """By how much a leaf's place on the level's axis is divided to give its part of the level."""
+        return self.splits ** self.axes[level + 1 :].count(self.axes[level])
+
+    def box(self, path: tuple[int, ...]) -> Box:
+        lo, hi = [], []
+        for axis, edges in enumerate(self.edges):
+            own = [p for p, a in zip(path, self.axes, strict=False) if a == axis]
+            width = self.splits ** (self.axes.count(axis) - len(own))
+            first = reduce(lambda n, p: n * self.splits + p, own, 0) * width
+            lo.append(edges[first])
+            hi.append(edges[first + width])
+        return lo, hi
+
+    def place(self, axis: int, x: Column) -> Column:
+        """The number of x's interval on an axis: a guess by division, put right by the edges beside it."""
+        edges, n = self.edges[axis], len(self.edges[axis]) - 1
+        if n == 1 or edges[0] == edges[-1]:
+            return F.lit(0)
+        all_ = F.array(*[F.lit(float(e)) for e in edges])
+        guess = F.least(F.greatest(F.floor((x - edges[0]) * (n / (edges[-1] - edges[0]))).cast("int"), F.lit(0)), F.lit(n - 1))
+        moved = guess + F.when((x >= F.get(all_, guess + 1)) & (guess < n - 1), 1).when((x < F.get(all_, guess)) & (guess > 0), -1).otherwise(0)
+        return moved
+
+    def leaf(self, points: DataFrame) -> DataFrame:
+        """points with leaf, the number of the last box on their way down."""
+        out = points.withColumns({f"__k{a}": self.place(a, F.col("coords")[a]) for a in range(len(self.edges))})
+        code = reduce(lambda n, level: n * self.splits + F.floor(F.col(f"__k{self.axes[level]}") / self._turn(level)) % self.splits, range(len(self.axes)), F.lit(0).cast("long"))
+        return out.withColumn("leaf", code.cast("long")).drop(*[f"__k{a}" for a in range(len(self.edges))])
+
+    def path(self, leaf: int) -> tuple[int, ...]:
+        return tuple(leaf // self.splits ** (len(self.axes) - 1 - k) % self.splits for k in range(len(self.axes)))
+
+
+def _name(path: tuple[int, ...]) -> str:
+    return "0" + "".join(map(str, path))
+
+
+def density_boxes(points: DataFrame, eps: float, settings: BoxSettings = BoxSettings(), of: Profile | None = None) -> DataFrame:
     """path, lvl, lo, hi, n_points of boxes that hold all points: a box is parted while one of its parts has points_per_box points."""
     spark: SparkSession = points.sparkSession
-    lo, hi = _bounds(points)
-    if not lo:
+    p = of or profile(points)
+    if not p.dims:
         return spark.createDataFrame([], SCHEMA)
-    tree = _tree(lo, hi, eps, settings)
-    counts = dict.fromkeys(tree, 0)
-    for r in points.select(leaf_path(lo, hi, eps, settings).alias("path")).groupBy("path").agg(F.count("*").alias("n")).collect():  # at most a row by leaf
-        for k in range(len(r["path"]) + 1):
-            counts[tuple(r["path"][:k])] += r["n"]
+    tree = Tree.grow(list(p.lower), list(p.upper), eps, settings)
+    counts: dict[tuple[int, ...], int] = {}
+    for r in tree.leaf(points).groupBy("leaf").agg(F.count("*").alias("n")).collect():  # at most a row by leaf
+        path = tree.path(r["leaf"])
+        for k in range(len(path) + 1):
+            counts[path[:k]] = counts.get(path[:k], 0) + r["n"]
     rows, todo = [], [()]
     while todo:
         path = todo.pop()
-        parts = [p for k in range(settings.splits) if (p := (*path, k)) in tree]
-        if any(counts[p] >= settings.points_per_box for p in parts):
+        parts = [(*path, k) for k in range(settings.splits)] if len(path) < len(tree.axes) else []
+        if any(counts.get(x, 0) >= settings.points_per_box for x in parts):
             todo += parts
         else:
-            rows.append(("0" + "".join(map(str, path)), len(path), *tree[path], counts[path]))
+            rows.append((_name(path), len(path), *tree.box(path), counts.get(path, 0)))
     return spark.createDataFrame(sorted(rows), SCHEMA)
 
 
 def assign(points: DataFrame, boxes: DataFrame, eps: float, settings: BoxSettings = BoxSettings()) -> DataFrame:
-    """(point_id, coords, path, lo, hi): each point with its density box, by an equi-join on the way down the tree."""
-    lo, hi = _bounds(points)
-    if not lo:
-        return points.select("point_id", "coords").where("false").join(boxes.select("path", "lo", "hi"), F.lit(True))
-    way = points.select("point_id", "coords", leaf_path(lo, hi, eps, settings).alias("way"))
-    way = way.select("point_id", "coords", F.explode(F.transform(F.sequence(F.lit(0), F.size("way")), lambda n: _name(F.col("way"), n))).alias("path"))
-    return way.join(boxes.select("path", "lo", "hi"), "path").select("point_id", "coords", "path", "lo", "hi")
+    """(point_id, coords, path, lo, hi): each point with its density box, by its leaf; a point outside all boxes is an error.
+
+    Leaves and their boxes are a table of at most splits ** levels rows, broadcast if these are few.
+    """
+    rows = boxes.collect()  # as many as the settings allow
+    if not rows:
+        return points.select("point_id", "coords", *[F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("lo", "array<double>"), ("hi", "array<double>"))]).where("false")
+    dims = len(rows[0]["lo"])
+    lo, hi = [min(r["lo"][i] for r in rows) for i in range(dims)], [max(r["hi"][i] for r in rows) for i in range(dims)]
+    tree = Tree.grow(lo, hi, eps, settings)
+    leaves = []
+    for r in rows:
+        rest = tree.splits ** (len(tree.axes) - r["lvl"])
+        first = int(r["path"][1:] or "0", tree.splits) * rest if tree.splits <= 10 else reduce(lambda n, d: n * tree.splits + int(d), r["path"][1:], 0) * rest
+        leaves += [(first + k, r["path"], r["lo"], r["hi"]) for k in range(rest)]
+    of = points.sparkSession.createDataFrame(leaves, "leaf long, path string, lo array<double>, hi array<double>")
+    inside = reduce(lambda a, b: a & b, [(F.col("coords")[i] >= lo[i]) & (F.col("coords")[i] <= hi[i]) for i in range(dims)])
+    said = F.raise_error(F.concat(F.lit("no box holds point "), F.col("point_id").cast("string")))
+    placed = tree.leaf(points.select("point_id", "coords")).withColumn("leaf", F.when(inside, F.col("leaf")).otherwise(said.cast("long")))
+    return placed.join(F.broadcast(of) if len(leaves) <= BROADCAST_LEAVES else of, "leaf").select("point_id", "coords", "path", "lo", "hi")
 
 
 def adjacent(boxes: DataFrame) -> DataFrame:
@@ -124,11 +222,14 @@ def near_bounds(assigned: DataFrame, threshold: float) -> DataFrame:
     return assigned.where(F.exists(F.arrays_zip("coords", "lo", "hi"), lambda x: (F.abs(x["coords"] - x["lo"]) <= threshold) | (F.abs(x["coords"] - x["hi"]) <= threshold)))
 
 
-def equal_grid(lo: list[float], hi: list[float], most: int, min_side: float) -> list[tuple[list[float], list[float]]]:
-    """A box in equal parts: each side in at most `most`, none shorter than min_side (at least one part)."""
-    out: list[tuple[list[float], list[float]]] = [([], [])]
-    for a, b in zip(lo, hi, strict=True):
-        n = max(1, min(most, int((b - a) / min_side + 0.5) if min_side > 0 else most))
-        edges = [a + k * (b - a) / n for k in range(n)] + [b]
-        out = [([*x, c], [*y, d]) for x, y in out for c, d in zip(edges[:-1], edges[1:], strict=True)]
-    return out
+def near_pairs(assigned: DataFrame, boxes: DataFrame, threshold: float) -> DataFrame:
+    """(path_a, path_b, point_id, coords, path): each point near a bound of its box, once for each adjacent pair that the box is of."""
+    pairs = adjacent(boxes)
+    sides = pairs.select("path_a", "path_b", F.explode(F.array("path_a", "path_b")).alias("path"))
+    return near_bounds(assigned, threshold).select("point_id", "coords", "path").join(sides, "path").select("path_a", "path_b", "point_id", "coords", "path")
+
+
+def partition_by_box(assigned: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows of assign() laid out by box, and within a partition in order of box and id."""
+    dealt = assigned.repartition(partitions, "path") if partitions else assigned.repartition("path")
+    return dealt.sortWithinPartitions("path", "point_id")

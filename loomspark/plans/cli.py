@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from loomspark.plans.model import DensityClusterer
+from loomspark.settings import BoxSettings
 from loomspark.sources.points import points, read_csv
 
 
@@ -22,7 +23,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--coords", nargs="+", help="columns of Parquet input")
     p.add_argument("--id", help="id column of Parquet input")
     p.add_argument("--master")
-    p.add_argument("--debug-output", help="folder for cluster sizes")
+    p.add_argument("--splits", type=int, default=BoxSettings.splits, help="parts of a box's longest side")
+    p.add_argument("--levels", type=int, default=BoxSettings.levels, help="how many times boxes are parted at most")
+    p.add_argument("--points-per-box", type=int, default=BoxSettings.points_per_box)
+    p.add_argument("--debug-output", help="folder for boxes, placed points, partial labels, mappings, points near bounds and cluster sizes")
     return p
 
 
@@ -34,10 +38,9 @@ def main(argv: list[str] | None = None) -> None:
         data = points(spark.read.parquet(a.input), a.coords[0] if len(a.coords) == 1 and dict(spark.read.parquet(a.input).dtypes)[a.coords[0]].startswith("array") else a.coords, a.id, a.mode)
     else:
         data = read_csv(spark, a.input, a.mode)
-    model = DensityClusterer(eps=a.eps, min_points=a.min_points, metric=a.metric, border_as_noise=a.border_as_noise).fit(data)
+    boxes = BoxSettings(a.splits, a.levels, a.points_per_box)
+    model = DensityClusterer(eps=a.eps, min_points=a.min_points, metric=a.metric, border_as_noise=a.border_as_noise, boxes=boxes, debug=a.debug_output).fit(data)
     model.save_csv(a.output)
-    if a.debug_output:
-        model.summary().write.parquet(f"{a.debug_output}/summary")
 
 
 if __name__ == "__main__":

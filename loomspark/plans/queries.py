@@ -7,15 +7,17 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.metrics import almost_at_least, almost_at_most, almost_equal, metric
 from loomspark.operators import boxes as bx
 from loomspark.operators import labels
 from loomspark.operators import neighbors as nb
 from loomspark.operators.components import connected_components
 from loomspark.settings import BoxSettings, ClusterSettings
-from loomspark.sources.points import points
+from loomspark.sources.points import points, profile
 
 EPS, MIN_POINTS = 1.505, 6
 BOXES = BoxSettings(levels=6, points_per_box=100)
+CENTER = [70.0, 100.0]
 EVENTS = "SELECT event_id + 1 AS id, CAST(user_id AS DOUBLE) AS x, value AS y FROM events"
 VECTORS = "SELECT vec_id + 1 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 
@@ -42,9 +44,19 @@ def pairwise_distance(spark, sf_dir):
     return nb.neighbor_pairs(_events(spark, sf_dir), EPS).select("id_a", "id_b", F.floor(F.col("distance") * 1000000).alias("micro_distance"))
 
 
-def distance_from_origin(spark, sf_dir):
-    x, y = F.col("coords")[0], F.col("coords")[1]
-    return _events(spark, sf_dir).select("point_id", F.floor(F.sqrt(x * x + y * y) * 1000000).alias("micro_norm"))
+def distance_from_origin(spark, sf_dir, name="euclidean"):
+    return _events(spark, sf_dir).select("point_id", F.floor(metric(name).from_origin(F.col("coords"), 2) * 1000000).alias("micro_norm"))
+
+
+def eps_ball(spark, sf_dir):
+    return nb.eps_ball(_events(spark, sf_dir), CENTER, 40.005).select("point_id")
+
+
+def almost_on_bounds(spark, sf_dir):
+    """Points whose first coordinate is the lower or upper bound of their density box, within TOLERANCE."""
+    x, lo, hi = F.col("coords")[0], F.col("lo")[0], F.col("hi")[0]
+    side = [almost_equal(x, lo).alias("at_lower"), almost_equal(x, hi).alias("at_upper"), (almost_at_least(x, lo) & almost_at_most(x, hi)).alias("inside")]
+    return _assigned(spark, sf_dir).select("point_id", *side)
 
 
 def bounding_box(spark, sf_dir):
@@ -76,6 +88,58 @@ def points_near_bounds(spark, sf_dir):
     return bx.near_bounds(_assigned(spark, sf_dir), EPS).select("point_id", "path")
 
 
+def near_bound_pairs(spark, sf_dir):
+    pts = _events(spark, sf_dir)
+    boxes = bx.density_boxes(pts, EPS, BOXES)
+    return bx.near_pairs(bx.assign(pts, boxes, EPS, BOXES), boxes, EPS).select("path_a", "path_b", "point_id")
+
+
+def points_by_box(spark, sf_dir):
+    """The layout by box: which points stand together in a partition, as counts and bounds of ids that hold for any layout."""
+    laid = bx.partition_by_box(_assigned(spark, sf_dir)).withColumn("part", F.spark_partition_id())
+    return laid.groupBy("path").agg(F.count("*").alias("n_points"), F.min("point_id").alias("first_id"), F.max("point_id").alias("last_id"), F.count_distinct("part").alias("n_partitions"))
+
+
+def boxes_by_centre(spark, sf_dir):
+    boxes = bx.density_boxes(_events(spark, sf_dir), EPS, BOXES)
+    return bx.by_centre(boxes, 2).select("path", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
+
+
+def embracing_box(spark, sf_dir):
+    both = bx.embracing(bx.density_boxes(_events(spark, sf_dir), EPS, BOXES), 2)
+    return both.select(F.col("lo")[0].alias("xl"), F.col("hi")[0].alias("xu"), F.col("lo")[1].alias("yl"), F.col("hi")[1].alias("yu"))
+
+
+def boxes_around_points(spark, sf_dir):
+    """Boxes of side 2 * EPS around points, their sides' lengths, and whether the point itself is inside."""
+    b = bx.around(_events(spark, sf_dir), 2 * EPS)
+    lo, hi = F.col("lo"), F.col("hi")
+    return b.select("point_id", lo[0].alias("xl"), hi[0].alias("xu"), lo[1].alias("yl"), hi[1].alias("yu"), bx.length(lo[0], hi[0]).alias("side"), bx.box_contains(F.col("coords"), lo, hi, 2).alias("inside"))
+
+
+def interval_hulls(spark, sf_dir):
+    """The side of each density box on the first axis, grown by EPS, and its hull with the interval [0, 1]."""
+    boxes = bx.density_boxes(_events(spark, sf_dir), EPS, BOXES)
+    own = F.col("lo")[0], F.col("hi")[0]
+    wide, both = bx.extended(*own, F.lit(EPS)), bx.hull(own, (F.lit(0.0), F.lit(1.0)))
+    return boxes.select("path", wide[0].alias("wide_lower"), wide[1].alias("wide_upper"), both[0].alias("hull_lower"), both[1].alias("hull_upper"))
+
+
+def interval_pieces(spark, sf_dir):
+    """Each side of the bounding box in at most 8 pieces of about 25 at least."""
+    side = bx.bounding_box(_events(spark, sf_dir))
+    pieces = side.select("dim", F.posexplode(bx.split_interval(F.col("lower"), F.col("upper"), 8, 25.0)).alias("piece", "p"))
+    return pieces.select("dim", "piece", "p.lower", "p.upper", "p.upper_inclusive")
+
+
+def equal_grid(spark, sf_dir):
+    """The bounding box in at most 4 parts a side, none shorter than 30, with the points of each."""
+    pts = _events(spark, sf_dir)
+    p = profile(pts)
+    parts = [(i, *a, *b) for i, (a, b) in enumerate(bx.equal_grid(list(p.lower), list(p.upper), 4, 30.0))]
+    return spark.createDataFrame(parts, "part long, xl double, yl double, xu double, yu double")
+
+
 def cells(spark, sf_dir):
     return nb.cells(_events(spark, sf_dir), EPS).select(F.col("cell")[0].alias("cx"), F.col("cell")[1].alias("cy"), "n_points")
 
@@ -157,9 +221,12 @@ def vector_labels(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     points_scan, pairwise_distance, distance_from_origin, bounding_box, density_boxes, box_assignment, adjacent_boxes, points_near_bounds, cells,
     neighbor_pairs, neighbor_counts, core_points, core_edges, border_assignment, cluster_labels, noise_points, clustered_points, cluster_summary,
-    predict_labels, vector_neighbor_counts, vector_labels,
+    predict_labels, vector_neighbor_counts, vector_labels, eps_ball, almost_on_bounds, near_bound_pairs, points_by_box, boxes_by_centre,
+    embracing_box, boxes_around_points, interval_hulls, interval_pieces, equal_grid,
 )} | {
     "connected_components": components,
+    "manhattan_norm": partial(distance_from_origin, name="manhattan"),
+    "chebyshev_norm": partial(distance_from_origin, name="chebyshev"),
     "cluster_labels_border_as_noise": partial(cluster_labels, border_as_noise=True),
     "manhattan_labels": partial(cluster_labels, metric="manhattan"),
     "chebyshev_labels": partial(cluster_labels, metric="chebyshev"),
@@ -191,24 +258,32 @@ out AS (SELECT p.id AS point_id, cnt.n AS n_neighbors, (cnt.n>={m}) AS is_core,
 
 
 _LABELS = "SELECT point_id, n_neighbors, is_core, cluster_id FROM out"
-_BOXES = f"""WITH RECURSIVE p AS ({EVENTS}),
-n AS (
- SELECT '0' AS path, 0 AS lvl, min(x) xl, max(x) xu, min(y) yl, max(y) yu, true xi, true yi FROM p
+# a point's leaf is what its way down the tree says, level by level; boxes then meet points by an equi-join on the path
+_BOXES = f"""WITH RECURSIVE p AS MATERIALIZED ({EVENTS}),
+n AS MATERIALIZED (
+ SELECT '0' AS path, 0 AS lvl, min(x) xl, max(x) xu, min(y) yl, max(y) yu FROM p
  UNION ALL
  SELECT path||k, lvl+1,
    CASE WHEN sx AND k=1 THEN xl+(xu-xl)/2 ELSE xl END, CASE WHEN sx AND k=0 THEN xl+(xu-xl)/2 ELSE xu END,
-   CASE WHEN NOT sx AND k=1 THEN yl+(yu-yl)/2 ELSE yl END, CASE WHEN NOT sx AND k=0 THEN yl+(yu-yl)/2 ELSE yu END,
-   CASE WHEN sx AND k=0 THEN false ELSE xi END, CASE WHEN NOT sx AND k=0 THEN false ELSE yi END
+   CASE WHEN NOT sx AND k=1 THEN yl+(yu-yl)/2 ELSE yl END, CASE WHEN NOT sx AND k=0 THEN yl+(yu-yl)/2 ELSE yu END
  FROM (SELECT *, (xu-xl)>=(yu-yl) AS sx FROM n) t, (VALUES (0),(1)) v(k)
  WHERE lvl<{BOXES.levels} AND least(CASE WHEN sx THEN (xu-xl)/2 ELSE xu-xl END, CASE WHEN sx THEN yu-yl ELSE (yu-yl)/2 END) >= 2*{EPS}),
-inb AS (SELECT n.path, p.id FROM n JOIN p ON p.x>=n.xl AND (p.x<n.xu OR (n.xi AND p.x=n.xu)) AND p.y>=n.yl AND (p.y<n.yu OR (n.yi AND p.y=n.yu))),
-c AS (SELECT n.path, count(inb.id) AS cnt FROM n LEFT JOIN inb USING(path) GROUP BY n.path),
-s AS (SELECT left(path,length(path)-1) AS par, max(cnt) AS mx FROM c GROUP BY 1),
-boxes AS (SELECT n.path, n.lvl, n.xl, n.xu, n.yl, n.yu, c.cnt AS n_points FROM n JOIN c USING(path)
+way AS (
+ SELECT id, x, y, '0' AS path FROM p
+ UNION ALL
+ SELECT id, x, y, way.path || CASE WHEN (CASE WHEN n.xu-n.xl>=n.yu-n.yl THEN x >= n.xl+(n.xu-n.xl)/2 ELSE y >= n.yl+(n.yu-n.yl)/2 END) THEN '1' ELSE '0' END
+ FROM way JOIN n ON n.path = way.path WHERE EXISTS (SELECT 1 FROM n AS kid WHERE kid.path = way.path || '0')),
+inb AS MATERIALIZED (SELECT path, id FROM way),
+c AS MATERIALIZED (SELECT n.path, count(inb.id) AS cnt FROM n LEFT JOIN inb USING(path) GROUP BY n.path),
+s AS MATERIALIZED (SELECT left(path,length(path)-1) AS par, max(cnt) AS mx FROM c GROUP BY 1),
+boxes AS MATERIALIZED (SELECT n.path, n.lvl, n.xl, n.xu, n.yl, n.yu, c.cnt AS n_points FROM n JOIN c USING(path)
  LEFT JOIN s AS kids ON kids.par=n.path
  LEFT JOIN s AS sib  ON sib.par=left(n.path,length(n.path)-1)
 WHERE (n.lvl=0 OR sib.mx>={BOXES.points_per_box}) AND coalesce(kids.mx,0)<{BOXES.points_per_box})
 """
+_ADJACENT = "SELECT a.path AS path_a, b.path AS path_b FROM boxes a JOIN boxes b ON a.path<b.path AND a.xl<=b.xu AND b.xl<=a.xu AND a.yl<=b.yu AND b.yl<=a.yu"
+_NEAR = f"SELECT p.id AS point_id, path FROM inb JOIN boxes USING(path) JOIN p ON p.id=inb.id WHERE abs(x-xl)<={EPS} OR abs(x-xu)<={EPS} OR abs(y-yl)<={EPS} OR abs(y-yu)<={EPS}"
+_SIDES = f"SELECT min(x) xl, max(x) xu, min(y) yl, max(y) yu FROM ({EVENTS})"
 
 ORACLES = {
     "points_scan": EVENTS.replace("AS id", "AS point_id"),
@@ -217,8 +292,22 @@ ORACLES = {
     "bounding_box": f"WITH p AS ({EVENTS}) SELECT 0::INTEGER AS dim, min(x) AS lower, max(x) AS upper, count(*) AS n_points FROM p UNION ALL SELECT 1::INTEGER, min(y), max(y), count(*) FROM p",
     "density_boxes": _BOXES + "SELECT * FROM boxes",
     "box_assignment": _BOXES + "SELECT inb.id AS point_id, path FROM inb JOIN boxes USING(path)",
-    "adjacent_boxes": _BOXES + "SELECT a.path AS path_a, b.path AS path_b FROM boxes a JOIN boxes b ON a.path<b.path AND a.xl<=b.xu AND b.xl<=a.xu AND a.yl<=b.yu AND b.yl<=a.yu",
-    "points_near_bounds": _BOXES + f"SELECT p.id AS point_id, path FROM inb JOIN boxes USING(path) JOIN p ON p.id=inb.id WHERE abs(x-xl)<={EPS} OR abs(x-xu)<={EPS} OR abs(y-yl)<={EPS} OR abs(y-yu)<={EPS}",
+    "adjacent_boxes": _BOXES + _ADJACENT,
+    "points_near_bounds": _BOXES + _NEAR,
+    "near_bound_pairs": _BOXES.rstrip() + f",\nnear AS MATERIALIZED ({_NEAR}), adj AS MATERIALIZED ({_ADJACENT})\nSELECT path_a, path_b, point_id FROM near JOIN adj ON path = path_a UNION ALL SELECT path_a, path_b, point_id FROM near JOIN adj ON path = path_b",
+    "points_by_box": _BOXES + "SELECT path, count(*) AS n_points, min(id) AS first_id, max(id) AS last_id, 1::BIGINT AS n_partitions FROM inb JOIN boxes USING(path) GROUP BY path",
+    "boxes_by_centre": _BOXES + "SELECT path, xl+(xu-xl)/2 AS x, yl+(yu-yl)/2 AS y FROM boxes ORDER BY x, y",
+    "embracing_box": _BOXES + "SELECT min(xl) AS xl, max(xu) AS xu, min(yl) AS yl, max(yu) AS yu FROM boxes",
+    "almost_on_bounds": _BOXES + "SELECT p.id AS point_id, abs(x-xl)<=1e-10 AS at_lower, abs(x-xu)<=1e-10 AS at_upper, x>=xl-1e-10 AND x<=xu+1e-10 AS inside FROM inb JOIN boxes USING(path) JOIN p ON p.id=inb.id",
+    "interval_hulls": _BOXES + f"SELECT path, xl-{EPS}/2.0::DOUBLE AS wide_lower, xu+{EPS}/2.0::DOUBLE AS wide_upper, least(xl, 0.0::DOUBLE) AS hull_lower, greatest(xu, 1.0::DOUBLE) AS hull_upper FROM boxes",
+    "boxes_around_points": f"SELECT id AS point_id, x-{EPS}::DOUBLE AS xl, x+{EPS}::DOUBLE AS xu, y-{EPS}::DOUBLE AS yl, y+{EPS}::DOUBLE AS yu, (x+{EPS}::DOUBLE)-(x-{EPS}::DOUBLE) AS side, true AS inside FROM ({EVENTS})",
+    "interval_pieces": f"""SELECT dim, k::INTEGER AS piece, lo+k*(hi-lo)/n AS lower, CASE WHEN k=n-1 THEN hi ELSE lo+(k+1)*(hi-lo)/n END AS upper, k=n-1 AS upper_inclusive
+FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(1, least(8, floor((hi-lo)/25+0.5)::INTEGER)) AS n FROM (SELECT 0::INTEGER AS dim, xl AS lo, xu AS hi FROM ({_SIDES}) UNION ALL SELECT 1, yl, yu FROM ({_SIDES}))))""",
+    "equal_grid": f"""SELECT i*ny+j AS part, xl+i*(xu-xl)/nx AS xl, yl+j*(yu-yl)/ny AS yl, CASE WHEN i=nx-1 THEN xu ELSE xl+(i+1)*(xu-xl)/nx END AS xu, CASE WHEN j=ny-1 THEN yu ELSE yl+(j+1)*(yu-yl)/ny END AS yu
+FROM (SELECT *, unnest(range(ny)) AS j FROM (SELECT *, unnest(range(nx)) AS i FROM (SELECT *, greatest(1, least(4, floor((xu-xl)/30+0.5)::INTEGER)) AS nx, greatest(1, least(4, floor((yu-yl)/30+0.5)::INTEGER)) AS ny FROM ({_SIDES}))))""",
+    "eps_ball": f"SELECT id AS point_id FROM ({EVENTS}) WHERE sqrt((x-{CENTER[0]})*(x-{CENTER[0]})+(y-{CENTER[1]})*(y-{CENTER[1]})) <= 40.005",
+    "manhattan_norm": f"SELECT id AS point_id, CAST(floor((abs(x)+abs(y))*1000000) AS BIGINT) AS micro_norm FROM ({EVENTS})",
+    "chebyshev_norm": f"SELECT id AS point_id, CAST(floor(greatest(abs(x), abs(y))*1000000) AS BIGINT) AS micro_norm FROM ({EVENTS})",
     "cells": f"SELECT CAST(floor(x/{EPS}) AS BIGINT) AS cx, CAST(floor(y/{EPS}) AS BIGINT) AS cy, count(*) AS n_points FROM ({EVENTS}) GROUP BY 1, 2",
     "neighbor_pairs": _cte() + "SELECT id AS id_a, nid AS id_b FROM nb WHERE id<nid",
     "neighbor_counts": _cte() + "SELECT id AS point_id, n AS n_neighbors FROM cnt",

@@ -1,6 +1,8 @@
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,11 +116,120 @@ def test_command_line(spark, tmp_path):
     from loomspark.plans.cli import main
 
     (tmp_path / "in.csv").write_text("0,0\n0,1\n9,9\n")
-    main(["--input", f"{tmp_path}/in.csv", "--output", f"{tmp_path}/out", "--eps", "1", "--min-points", "2"])
+    main(["--input", f"{tmp_path}/in.csv", "--output", f"{tmp_path}/out", "--eps", "1", "--min-points", "2", "--levels", "1", "--points-per-box", "2", "--debug-output", f"{tmp_path}/debug"])
     lines = sorted(x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().split())
     assert [x.split(",")[:2] for x in lines] == [["0.0", "0.0"], ["0.0", "1.0"], ["9.0", "9.0"]] and lines[2].endswith(",0")
 
 
+def test_debug_outputs(spark):
+    seen = {}
+    DensityClusterer(eps=1, min_points=2, boxes=BoxSettings(levels=2, points_per_box=3), debug=lambda name, df: seen.update({name: df.collect()})).fit(frame(spark, [0, 0.5, 1.4, 2.2, 9, 20]))
+    assert set(seen) == {"boxes", "placed", "partial", "mappings", "near_bounds", "summary"}
+    assert sum(r["n_points"] for r in seen["boxes"]) == len(seen["placed"]) == 6
+    assert {r["node"] for r in seen["partial"]} == {r["node"] for r in seen["mappings"]} and {r["cluster"] for r in seen["mappings"]} == {1}
+    assert {r["path"] for r in seen["placed"]} <= {r["path"] for r in seen["boxes"]}
+    assert {(r["point_id"], r["cluster_id"]) for r in seen["near_bounds"]} >= {(1, 1), (6, 0)}
+
+
+def test_estimator(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from loomspark.plans.ml import DensityClustering, DensityClusteringModel
+
+    df = spark.createDataFrame([(i + 1, Vectors.dense([x]), "kept") for i, x in enumerate([0.0, 0.2, 0.4, 9.0])], ["id", "features", "other"])
+    one = DensityClustering(eps=1.0, minPoints=3)
+    one.save(f"{tmp_path}/estimator")
+    assert DensityClustering.load(f"{tmp_path}/estimator").settings() == ClusterSettings(1.0, 3)
+    model = one.fit(df)
+    model.save(f"{tmp_path}/model")
+    for m in (model, DensityClusteringModel.load(f"{tmp_path}/model")):
+        assert {(r["id"], r["prediction"], r["other"]) for r in m.transform(df).collect()} == {(1, 1, "kept"), (2, 1, "kept"), (3, 1, "kept"), (4, 0, "kept")}
+
+
+def test_dense_cell_writes_no_pairs(spark):
+    from loomspark.plans import shared
+
+    n = 100_000
+    dense = spark.range(n).select((F.col("id") + 1).alias("id"), F.array((F.col("id") % 400) / 1e4, F.floor(F.col("id") / 400) / 1e4).alias("c"))
+    df = points(dense.unionByName(spark.createDataFrame([(n + 1, [0.9, 0.0]), (n + 2, [50.0, 50.0])], SCHEMA)), "c", "id")
+    before, written = shared.saved, {}
+
+    def spy(df, name="table"):
+        out = before(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    from loomspark.operators import components, labels, neighbors
+
+    modules = (components, labels, neighbors)
+    try:
+        for m in modules:
+            m.saved = spy
+        got = DensityClusterer(eps=2, min_points=5).fit(df).labelled
+        assert {tuple(r) for r in got.groupBy("n_neighbors", "is_core", "cluster_id").count().collect()} == {(n + 1, True, 1, n + 1), (1, False, 0, 1)}
+    finally:
+        for m in modules:
+            m.saved = before
+    assert max(written[x] for x in ("cells", "near", "edges")) < 10 and max(written.values()) <= n + 2
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "own"])
+def test_many_coordinates_against_brute_force(spark, metric, monkeypatch):
+    from loomspark.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    register_python("own", lambda a, b: np.abs(a - b).sum(1) / 4)
+    rng = random.Random(4)
+    rows = {i + 1: tuple(rng.randint(0, 3) / 2 for _ in range(9)) for i in range(70)}
+    rows |= {71: rows[1], 72: rows[1], 73: (50.0,) * 9}
+    dist = EUCLID if metric == "euclidean" else lambda a, b: MANHATTAN(a, b) / 4
+    df = frame(spark, list(rows.values()))
+    got = DensityClusterer(eps=1.5, min_points=5, metric=metric).fit(df)
+    assert {r["point_id"]: (r["n_neighbors"], r["is_core"], r["cluster_id"]) for r in got.labelled.collect()} == brute(rows, 1.5, 5, dist)
+    want = {(a, b) for a in rows for b in rows if a < b and dist(rows[a], rows[b]) <= 1.5}
+    assert {(r["id_a"], r["id_b"]) for r in neighbor_pairs(df, 1.5, metric).collect()} == want
+    label = {r["point_id"]: r["cluster_id"] for r in got.labelled.collect()}
+    votes = {i: Counter(label[j] for j in rows if dist(rows[i], rows[j]) <= 1.5) for i in rows}
+    for r in got.predict(df).collect():
+        strong = [c for c, n in votes[r["point_id"]].items() if c and n >= 4]
+        any_ = [c for c in votes[r["point_id"]] if c]
+        assert r["cluster_id"] == (min(strong) if strong else min(any_) if any_ else -1 if votes[r["point_id"]][0] >= 4 else 0)
+
+
+def test_interval_and_box_operators(spark):
+    one = spark.createDataFrame([(0.0, 10.0)], "a double, b double")
+    pieces = lambda *more: [tuple(p) for p in one.select(bx.split_interval(F.col("a"), F.col("b"), *more).alias("p")).first()["p"]]
+    assert pieces(4) == [(0.0, 2.5, False), (2.5, 5.0, False), (5.0, 7.5, False), (7.5, 10.0, True)]
+    assert pieces(8, 4.0) == [(0.0, 10 / 3, False), (10 / 3, 20 / 3, False), (20 / 3, 10.0, True)] and pieces(8, 40.0) == [(0.0, 10.0, True)]
+    a, b = F.col("a"), F.col("b")
+    assert tuple(one.select(bx.length(a, b), *bx.extended(a, b, F.lit(2.0)), *bx.hull((a, b), (F.lit(-1.0), F.lit(3.0))), bx.interval_contains(b, a, b), bx.interval_contains(b, a, b, True)).first()) == (10.0, -1.0, 11.0, -1.0, 10.0, False, True)
+    got = bx.around(frame(spark, [(1, 2)]), 3.0).first()
+    assert (got["lo"], got["hi"]) == ([-0.5, 0.5], [2.5, 3.5])
+    boxes = bx.density_boxes(frame(spark, [(i, i * i) for i in range(9)]), 0.1, BoxSettings(levels=3, points_per_box=2, splits=3))
+    assert tuple(bx.embracing(boxes, 2).first()) == ([0.0, 0.0], [8.0, 64.0])
+    centres = [r["centre"] for r in bx.by_centre(boxes, 2).collect()]
+    assert centres == sorted(centres) and len(centres) == boxes.count()
+    with pytest.raises(Exception, match="no box holds point"):
+        bx.assign(frame(spark, [(99, 99)]), boxes, 0.1, BoxSettings(levels=3, points_per_box=2, splits=3)).collect()
+    placed = bx.assign(frame(spark, [(i, i * i) for i in range(9)]), boxes, 0.1, BoxSettings(levels=3, points_per_box=2, splits=3))
+    pairs = {tuple(r) for r in bx.adjacent(boxes).collect()}
+    near = {(r["point_id"], r["path"]) for r in bx.near_bounds(placed, 0.5).collect()}
+    assert sorted((r["path_a"], r["path_b"], r["point_id"]) for r in bx.near_pairs(placed, boxes, 0.5).collect()) == sorted((x, y, i) for x, y in pairs for i, p in near if p in (x, y))
+    laid = bx.partition_by_box(placed, 3).withColumn("part", F.spark_partition_id()).collect()
+    assert len({(r["path"], r["part"]) for r in laid}) == len({r["path"] for r in laid})
+
+
+def test_saved_tables_go_with_their_scope(spark):
+    import glob
+
+    from loomspark.plans.shared import saved, scope, shared_dir
+
+    with scope():
+        kept = saved(spark.range(3), "scoped")
+        assert kept.count() == 3
+    assert not glob.glob(f"{shared_dir(spark)}/*-scoped")
+
+
 def test_stream_scoring(spark, tmp_path):
     from loomspark.streaming.scoring import score_stream
 
