@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.plans.shared import saved
+from loomspark.plans.shared import saved, ship
 
 #: Rows of an Arrow batch: a batch of long texts must fit a worker's memory a few times.
 BATCH_ROWS = 500
 #: Ids that may be broadcast: 8 bytes each, so about 16 MB.
 BROADCAST_IDS = 1_000_000
+#: A key is hot if it has more than the HOT_PARTS-th part of all rows; so fewer than HOT_PARTS keys can be.
+HOT_PARTS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each context, whatever their PYTHONPATH."""
-    context = spark.sparkContext
-    if getattr(context, "_loomspark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    path = f"{tempfile.mkdtemp()}/loomspark_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted((root / "loomspark").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    context.addPyFile(path)
-    context._loomspark_shipped = True
+def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_ROWS rows, whatever the session's setting is."""
+    ship(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS))
 
-def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    spark = df.sparkSession
-    _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def unique(df: DataFrame, id: str) -> bool:
@@ -67,3 +55,15 @@ def only(df: DataFrame, ids: DataFrame, key: str, count: int | None = None) -> D
     """Rows of df whose key is in ids (distinct): by broadcast if they are few enough, counted first, else by a shuffled join."""
     count = ids.count() if count is None else count
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def spread_join(left: DataFrame, counts: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left joined with counts (keys, unique, and n: about how often left has each; not null), for any skew.
+
+    Hot keys, of which there are fewer than HOT_PARTS whatever the data, meet left by broadcast; the rows of other keys,
+    none of which has more than that part of rows, by a shuffle. rows: the sum of n over all keys at most.
+    """
+    hot = F.col("n") > rows / HOT_PARTS
+    met = left.join(F.broadcast(counts.where(hot)), keys, "left")
+    extra = [c for c in counts.columns if c not in keys]
+    return met.where("n is not null").unionByName(met.where("n is null").drop(*extra).join(counts.where(~hot), keys, how))

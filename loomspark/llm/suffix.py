@@ -14,8 +14,14 @@ A byte goes when a LENGTH-byte string that covers it starts at another place too
    aggregation; of those that are left the windows are hashed (128 bits) and counted so. That is exact too, and no
    group of copies meets in one place.
 
+A second, shorter length may be asked for: the same anchors then are those of its windows, and each longer window
+belongs to the anchor of its first bytes; one order of suffixes answers both.
+
 Defined cases: a null or empty text has no bytes and keeps its empty rest; texts shorter than LENGTH lose nothing;
-repeated rows are copies of each other and so lose all their bytes from LENGTH on; matches never cross texts.
+repeated rows are copies of each other and so lose all their bytes from LENGTH on; matches never cross texts. A very
+long text is scanned as a block of its own and meets others by its anchors only; its rest is cut in one pass. Ties have
+no part: all places of a repeated string count. An empty table gives no rows. Columns of other names, `h` or `spans`
+among them, are not read, and come back as they were in `own`.
 Each row is a text of its own: where ids are null or repeated, rows go by numbers and get their ids back at the end.
 """
 
@@ -31,12 +37,15 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
 from loomspark.llm.deepshallow import deep_shallow_sort
-from loomspark.llm.frames import arrow, numbered, only
+from loomspark.llm.frames import arrow, numbered, only, spread_join
 from loomspark.plans.shared import discard, saved
 
 LENGTH = 400
 GRAM = 128
 BUCKET_ROWS = 100_000
+#: Bytes that a passage of over 50 words has, at under five bytes a word with its space.
+PASSAGE = 250
+SPANS = "length int, doc_id long, a long, b long"
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -86,7 +95,7 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
-    """texts: doc_id, text, found (h, place, n). A row by anchor: the bytes that its windows cover."""
+    """texts: doc_id, text, found (h, place, n). A row by anchor: the bytes that its windows of length cover, as far as the text goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,8 +114,8 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
     return arrow(texts, run, "h long, doc_id long, p long, most int, least int, n long, bytes binary")
 
 
-def repeated_starts(h: np.ndarray, most: np.ndarray, least: np.ndarray, data: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each offset: the rows whose window that far before its anchor is another row's too."""
+def repeated_starts(h: np.ndarray, most: np.ndarray, least: np.ndarray, data: list[bytes], lengths: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each length and offset: the rows whose window that far before its anchor is another row's too."""
     n = len(h)
     suffix = [d[m:] for d, m in zip(data, most.tolist(), strict=True)]
     before = [d[:m][::-1] for d, m in zip(data, most.tolist(), strict=True)]
@@ -120,17 +129,18 @@ def repeated_starts(h: np.ndarray, most: np.ndarray, least: np.ndarray, data: li
         rows = rows[most[rows] >= off]
         if len(rows) < 2:
             continue
-        right[r_order] = np.cumsum(r_lcp < length - off)
         left[l_order] = np.cumsum(l_lcp < off)
-        key = right[rows] * n + left[rows]
-        order = np.argsort(key)
-        k = key[order]
-        same = k[1:] == k[:-1]
-        hit = np.zeros(len(rows), dtype=bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        if hit.any():
-            yield off, rows[order[hit]]
+        for length in lengths:
+            right[r_order] = np.cumsum(r_lcp < length - off)
+            key = right[rows] * n + left[rows]
+            order = np.argsort(key)
+            k = key[order]
+            same = k[1:] == k[:-1]
+            hit = np.zeros(len(rows), dtype=bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            if hit.any():
+                yield length, off, rows[order[hit]]
 
 
 def _intervals(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,17 +152,17 @@ def _intervals(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndar
     return d[new], s[new], s[last] + length
 
 
-def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
+def _sorted_spans(contexts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Covered ranges out of the rows of each hash, which meet in one task."""
 
     def spans(t: pa.Table) -> Iterator[pa.RecordBatch]:
         h, doc, p, most, least = (t[c].to_numpy().astype(np.int64) for c in ("h", "doc_id", "p", "most", "least"))
-        docs, starts = [], []
-        for off, rows in repeated_starts(h, most, least, t["bytes"].to_pylist(), length):
-            docs.append(doc[rows])
-            starts.append(p[rows] - off)
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _intervals(np.concatenate(docs), np.concatenate(starts), length)], ["doc_id", "a", "b"])
+        found: dict[int, list] = {}
+        for length, off, rows in repeated_starts(h, most, least, t["bytes"].to_pylist(), lengths):
+            found.setdefault(length, []).append((doc[rows], p[rows] - off))
+        for length, got in found.items():
+            runs = _intervals(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), length)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs[0]), length, dtype=np.int32)), *map(pa.array, runs)], ["length", "doc_id", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,54 +181,62 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from spans(pa.Table.from_batches(held))
 
-    return arrow(contexts.repartition("h").sortWithinPartitions("h"), run, "doc_id long, a long, b long")
+    return arrow(contexts.repartition("h").sortWithinPartitions("h"), run, SPANS)
 
 
-def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
+def _counted_spans(contexts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """The same for hashes with very many rows: windows by digest, counted with a combining aggregation."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, p, most, least, data in zip(*(b[c].to_pylist() for c in ("doc_id", "p", "most", "least", "bytes")), strict=True):
-                keys = [hashlib.blake2b(data[k : k + length], digest_size=16).digest() for k in range(most - least + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([doc] * len(keys), pa.int64()), pa.array(range(p - most, p - least + 1), pa.int64())], ["key", "doc_id", "a"])
+                for length in lengths:
+                    keys = [hashlib.blake2b(data[k : k + length], digest_size=16).digest() for k in range(min(most - least, len(data) - length) + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([length] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array([doc] * len(keys), pa.int64()), pa.array(range(p - most, p - most + len(keys)), pa.int64())], ["length", "key", "doc_id", "a"])
 
     # rows of equal bytes have only repeated windows; one row of each kind is cut into windows
-    marked = contexts.withColumn("kind", F.sha2("bytes", 256))
-    kinds = marked.groupBy("kind", "most", "least").agg(F.count("*").alias("alike"), F.min(F.struct("doc_id", "p")).alias("one"))
-    marked = saved(marked.join(kinds, ["kind", "most", "least"]).withColumn("is_one", F.struct("doc_id", "p") == F.col("one")), "kinds")
-    whole = marked.where("alike > 1").select("doc_id", (F.col("p") - F.col("most")).alias("a"), (F.col("p") - F.col("least") + length).alias("b"))
-    rows = saved(arrow(marked.where("is_one").select("doc_id", "p", "most", "least", "bytes"), windows, "key binary, doc_id long, a long"), "windows")
-    more = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return whole.unionByName(rows.join(more, "key", "left_semi").select("doc_id", "a", (F.col("a") + length).alias("b")))
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int | None = None, bucket_rows: int = BUCKET_ROWS, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; and kept_text (its remaining bytes, broken characters dropped) if with_text, and own (a struct of the columns keep) if keep."""
-    gram = gram or min(GRAM, max(1, length // 2))
-    if not 0 < gram <= length < 1 << 15:
-        raise ValueError("gram must be from 1 to length, and length below 32768")
+    by = ["kind", "most", "least"]
+    marked = contexts.withColumn("kind", F.unhex(F.sha2("bytes", 256)))
+    kinds = saved(marked.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "p")).alias("one")), "counts")
+    marked = saved(spread_join(marked, kinds, by, marked.count()).withColumn("is_one", F.struct("doc_id", "p") == F.col("one")), "kinds")
+    end = F.col("p") - F.col("most") + F.length("bytes")
+    whole = marked.where("n > 1").select(F.explode(F.array(*map(F.lit, lengths))).alias("length"), "doc_id", (F.col("p") - F.col("most")).alias("a"), (F.col("p") - F.col("least")).alias("z"), end.alias("end"))
+    whole = whole.select("length", "doc_id", "a", F.least("end", F.col("z") + F.col("length")).alias("b")).where("b - a >= length")
+    rows = saved(arrow(marked.where("is_one").select("doc_id", "p", "most", "least", "bytes"), windows, "length int, key binary, doc_id long, a long"), "windows")
+    more = rows.groupBy("length", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return whole.unionByName(rows.join(more, ["length", "key"], "left_semi").select("length", "doc_id", "a", (F.col("a") + F.col("length")).alias("b")))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int | None = None, bucket_rows: int = BUCKET_ROWS, with_text: bool = False, keep: list[str] | None = None, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    And n_passage_bytes (the bytes that repeated strings of passage bytes cover; nothing is removed for them) if passage;
+    kept_text (its remaining bytes, broken characters dropped) if with_text; own (a struct of the columns keep) if keep.
+    """
+    shortest = min(length, passage or length)
+    lengths = (length,) if passage in (None, length) else (length, passage)
+    gram = gram or min(GRAM, max(1, shortest * 2 // 5))
+    if not 0 < gram <= shortest <= max(lengths) < 1 << 15:
+        raise ValueError("gram must be from 1 to the shortest length, and lengths below 32768")
     own = [F.struct(*keep).alias("own")] if keep else []
     docs, is_id = numbered(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *own), "id", "doc_id")
-    scan = saved(_scan(docs.select("doc_id", "text"), length, gram), "anchors")
-    classes = scan.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = saved(classes, "classes")
+    scan = saved(_scan(docs.select("doc_id", "text"), shortest, gram), "anchors")
+    classes = saved(scan.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "sha")
-    places = scan.where(F.size("h") > 0).join(reps, ["doc_id", "sha"], "left_semi").select("doc_id", F.explode(F.arrays_zip("h", "place")).alias("x")).select("doc_id", "x.h", "x.place").distinct()
+    places = scan.where(F.size("h") > 0).join(reps, ["doc_id", "sha"], "left_semi").select("doc_id", F.explode(F.arrays_zip("h", "place")).alias("x")).select("doc_id", "x.h", "x.place")
     places = saved(places, "places")
-    more = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    found = saved(places.join(more, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place", "n")).alias("found")), "found")
+    counts = saved(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    found = saved(spread_join(places, counts, ["h"], places.count()).groupBy("doc_id").agg(F.collect_list(F.struct("h", "place", "n")).alias("found")), "found")
     texts = only(docs.select("doc_id", "text"), found.select("doc_id"), "doc_id").join(found, "doc_id")
-    contexts = _contexts(texts.select("doc_id", "text", "found"), length)
-    hot = more.where(F.col("n") > bucket_rows)
-    if hot.limit(1).count():
+    contexts = _contexts(texts.select("doc_id", "text", "found"), max(lengths))
+    if counts.where(F.col("n") > bucket_rows).limit(1).count():
         contexts = saved(contexts, "contexts")
-        spans = _sorted_spans(contexts.where(F.col("n") <= bucket_rows).drop("n"), length).unionByName(_counted_spans(contexts.where(F.col("n") > bucket_rows), length))
+        spans = _sorted_spans(contexts.where(F.col("n") <= bucket_rows).drop("n"), lengths).unionByName(_counted_spans(contexts.where(F.col("n") > bucket_rows).drop("n"), lengths))
     else:
-        spans = _sorted_spans(contexts.drop("n"), length)
-    spans = saved(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    discard(places, found, contexts)
-    out = _rest(docs.select("doc_id", "text"), scan.select("doc_id", "n_bytes", "sha"), classes, spans, length, with_text)
+        spans = _sorted_spans(contexts.drop("n"), lengths)
+    spans = saved(spans.groupBy("doc_id").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "spans")
+    discard(places, counts, found, contexts)
+    out = _rest(docs.select("doc_id", "text"), scan.select("doc_id", "n_bytes", "sha"), classes, spans, length, passage, with_text)
     # one row of docs to each row
     extra = ["text"] * with_text + ["own"] * bool(keep)
     if extra or not is_id:
@@ -228,39 +246,45 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     return out
 
 
-def _rest(docs: DataFrame, scan: DataFrame, classes: DataFrame, spans: DataFrame, length: int, with_text: bool) -> DataFrame:
+def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that don't touch, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
+
+
+def _rest(docs: DataFrame, scan: DataFrame, classes: DataFrame, spans: DataFrame, length: int, passage: int | None, with_text: bool) -> DataFrame:
     gone = hashlib.sha256(b"").hexdigest()
-    copied = F.coalesce((F.col("copies") > 1) & (F.col("n_bytes") >= length), F.lit(False))
-    rows = scan.join(classes.where("copies > 1").drop("rep"), ["sha", "n_bytes"], "left").withColumn("copied", copied).select("doc_id", "n_bytes", "sha", "copied")
+    copies = classes.where("n > 1").drop("rep")
+    rows = spread_join(scan, copies, ["sha", "n_bytes"], scan.count(), "left").select("doc_id", "n_bytes", "sha", F.col("n").isNotNull().alias("copied"))
     cut = only(docs, spans.select("doc_id"), "doc_id").join(spans, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for doc, text, found in zip(b["doc_id"].to_pylist(), B.texts_of(b["text"]), b["spans"].to_pylist(), strict=True):
-                rest, end, n, removed = [], 0, 0, 0
-                for a, z in sorted((x["a"], x["b"]) for x in found):
-                    if n == 0 or a > end:
-                        rest.append(text[end:a])
-                        n += 1
-                        removed += z - a
-                        end = z
-                    elif z > end:
-                        removed += z - end
-                        end = z
-                rest.append(text[end:])
-                kept = b"".join(rest)
-                out.append((doc, removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], ["doc_id", "removed", "spans", "kept_sha", "kept"])
-
-    cut = arrow(cut.select("doc_id", "text", "spans"), run, "doc_id long, removed long, spans long, kept_sha string, kept string")
+                own = _merged([(x["a"], x["b"]) for x in found if x["length"] == length])
+                covered = sum(z - a for a, z in _merged([(x["a"], x["b"]) for x in found if x["length"] == passage]))
+                edges = [0, *(e for r in own for e in r), len(text)]
+                kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+                out.append((doc, sum(z - a for a, z in own), len(own), covered, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)], ["doc_id", "removed", "spans", "covered", "kept_sha", "kept"])
+
+    cut = arrow(cut.select("doc_id", "text", "spans"), run, "doc_id long, removed long, spans long, covered long, kept_sha string, kept string")
     all_ = rows.join(cut, "doc_id", "left")
+    whole = F.col("copied") & (F.col("n_bytes") >= length)
+    none = F.lit(0)
     return all_.select(
         "doc_id",
         "n_bytes",
-        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("copied"), F.lit(gone)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
-        *([F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept")).alias("cut_text")] if with_text else []),
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", none)).cast("long").alias("n_removed"),
+        F.when(whole, 1).otherwise(F.coalesce("spans", none)).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(gone)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        *([F.when(F.col("copied") & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("covered", none)).cast("long").alias("n_passage_bytes")] if passage else []),
+        *([F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("cut_text")] if with_text else []),
     )
