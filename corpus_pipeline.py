@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose quality score is at least QUALITY_THRESHOLD; the classifier learns from the labelled ones among them."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit_labels(docs, labels)
-    scored = quality.score(docs, model, keep=docs.columns)
-    return scored.where(F.col("quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("own"), "text")
+    return quality.score(own, model, keep=["own"]).where(F.col("quality_score") >= QUALITY_THRESHOLD).select("own.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeated strings cover; n_chars follows the text."""
-    kept = suffix.remove_repeats(docs, with_text=True, keep=docs.drop("text").columns)
+    """All documents, without the bytes that repeated strings of suffix.PASSAGE bytes cover; n_chars follows the text."""
+    kept = suffix.remove_repeats(docs, length=suffix.PASSAGE, with_text=True, keep=docs.drop("text").columns)
     out = kept.select("own.*", F.col("kept_text").alias("text"))
     return _with_length(out).select(*docs.columns)
 
