@@ -6,6 +6,7 @@ odd number, and all arithmetic is modulo 2**64, so that any range's hash is a di
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,6 +96,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Words of more bytes are hashed by a digest.
+LONG_WORD = 64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -106,6 +109,9 @@ class Words:
         buf, starts = joined(texts)
         s, e = runs(~SPACE[buf])
         self.hash = range_hash(prefix(buf, LOWER_VALUES if fold else BYTE_VALUES), s, e)
+        for k in np.flatnonzero(e - s > LONG_WORD).tolist():  # polynomial hashes of long strings can be made to collide
+            word = buf[s[k] : e[k]].tobytes()
+            self.hash[k] = int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8, key=b"word").digest(), "little")
         self.first = np.searchsorted(s, starts)  # of each text; then the number of words
         self.count = np.diff(self.first)
 

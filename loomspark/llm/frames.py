@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with batches of at most BATCH_ROWS rows, whatever the session's setting is."""
-    ship(df.sparkSession)
+    """df.mapInArrow. Batches have BATCH_ROWS rows at most, also where a session has set a larger number itself; a session without a number of its own gets that one."""
+    spark = df.sparkSession
+    ship(spark)
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS))

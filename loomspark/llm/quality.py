@@ -4,8 +4,11 @@ A text's features are the hashed one- and two-grams of its tokens (runs of lette
 of other visible characters), each with weight 1/sqrt(number of features); its score is the sigmoid of a sparse dot
 product with the learned weights. Executors turn the labelled sample into feature ids; the driver fits.
 
-Defined cases: a null or empty text has no features and gets the score of the bias alone; equal texts get equal scores;
-without any label, or with labels of one class, the score is the class's share (0.5 without labels).
+Defined cases: a null or empty text has no features and gets the score of the bias alone; equal texts, repeated rows
+among them, get equal scores, each its own row; a very long text is scored whole, as a block of its own; without any
+label, or with labels of one class, the score is the class's share (0.5 without labels); an empty table of documents
+has no scores. A label without a document, of a null id or of another value than 0 and 1 is not learned from; of labels
+that share an id one is. Other columns are not read; keep may not name a column `quality_score`.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
 from loomspark.llm.frames import arrow
+from loomspark.plans.shared import discard, saved
 
 #: Most labelled rows that a fit reads: those first by a hash of their id, and per class half of them.
 MAX_TRAIN_ROWS = 6000
@@ -95,43 +99,47 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: fl
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS) -> QualityModel:
-    """Fit on at most max_rows of the documents that labels (id, label) cover; only the chosen labels meet the texts, by broadcast."""
-    rows = labels.select(F.col(id), F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates([id]).join(docs.select(id).distinct(), id, "left_semi")
-    order = F.xxhash64(F.col(id).cast("string"))
-    chosen = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(order, id).limit(max_rows // 2)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    met = docs.select(id, text).join(F.broadcast(chosen), id)  # max_rows rows at most
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    return fit(met, text, "y", id, max_rows, totals)
+    """Fit on at most max_rows of the documents that labels (id, label) cover: ids are chosen first, then meet the texts once, by broadcast."""
+    rows = labels.select(F.col(id).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and k is not null").dropDuplicates(["k"])
+    rows = saved(rows.join(docs.select(F.col(id).cast("long").alias("k")).distinct(), "k", "left_semi"), "labels")
+    model = _fit(docs.select(F.col(id).cast("long").alias("k"), F.col(text).alias("t")), rows, max_rows)
+    discard(rows)
+    return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS, totals: dict[int, int] | None = None) -> QualityModel:
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS) -> QualityModel:
     """Fit on at most max_rows labelled rows (label 0 or 1; others and null are left out)."""
-    rows = labelled.select(F.col(id).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    half = max_rows // 2
+    rows = labelled.select(F.col(id).cast("long").alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    return _fit(rows.select("k", "t"), rows.select("k", "y").where("y in (0, 1) and k is not null").dropDuplicates(["k"]), max_rows)
+
+
+def _fit(texts: DataFrame, rows: DataFrame, max_rows: int) -> QualityModel:
+    """texts: k, t. rows: k, unique, and y."""
     chosen = None
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).withColumn("o", F.xxhash64("k")).orderBy("o", "k").limit(half)
+        part = rows.where(F.col("y") == y).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(max_rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = saved(chosen, "chosen")
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    met = texts.join(F.broadcast(chosen), "k")  # max_rows rows at most
+    met = met.groupBy("k", "y").agg(F.min("t").alias("t"))  # rows that share an id are one, of its least text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, y = B.texts_of(b["t"]), b["y"].to_pylist()
-            for i, j in B.blocks(texts):
-                ids, at = features(texts[i:j])
+            found = B.texts_of(b["t"])
+            for i, j in B.blocks(found):
+                ids, at = features(found[i:j])
                 got = [ids[a:c].tobytes() for a, c in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(b["k"].to_pylist()[i:j], pa.string()), pa.array(y[i:j], pa.int32()), pa.array(got, pa.binary())], ["k", "y", "ids"])
+                yield pa.RecordBatch.from_arrays([b["k"][i:j], b["y"][i:j], pa.array(got, pa.binary())], ["k", "y", "ids"])
 
-    got = sorted(((r.k or "", r.y, bytes(r.ids)) for r in arrow(chosen.select("k", "t", "y"), read, "k string, y int, ids binary").collect()), key=lambda r: r[:2])
+    got = sorted(((r.k, r.y, bytes(r.ids)) for r in arrow(met.select("k", "t", "y"), read, "k long, y int, ids binary").collect()), key=lambda r: str(r[0]))
+    discard(chosen)
     model = ftrl([np.frombuffer(r[2], dtype=np.int32) for r in got], np.array([r[1] for r in got], dtype=np.float64))
-    return _rebalanced(model, rows, got, totals)
+    return _rebalanced(model, got, totals)
 
 
-def _rebalanced(model: QualityModel, rows: DataFrame, got: list, total: dict[int, int] | None) -> QualityModel:
+def _rebalanced(model: QualityModel, got: list, total: dict[int, int]) -> QualityModel:
     """Classes were sampled evenly; the bias gives back the share that all labels have."""
-    total = total or {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = [sum(r[1] == y for r in got) for y in (0, 1)]
     if not all(n) or len(total) < 2:
         return model
