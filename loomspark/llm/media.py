@@ -1,11 +1,14 @@
 """AVI motion-JPEG: RIFF writing and parsing, intra frames, and shots by adaptive histogram differences.
 
-Frames are lossless JPEG (ITU T.81, process 14: SOF3, predictor 1, 8-bit samples, one component). The Huffman code gives
+Files from elsewhere are read too: frames are found by the index (without one, in the order in which they stand) and
+decoded by their own tables (see jpeg). The frames that are written here are lossless JPEG (ITU T.81, process 14: SOF3, predictor 1, 8-bit samples, one component). The Huffman code gives
 a difference of category s a code of 9 - s bits, so that every sample takes 9 bits with its s extra bits: the code is an
 ordinary one for any decoder, and numpy writes and reads all samples of a video at once.
 
 Defined cases: a null or empty text is 64 zero bytes; a video's last frame is filled with zero rows, and a chunk `plen`
-in the header list says how many bytes count. Equal payloads give equal files.
+in the header list says how many bytes count (without it all samples do). Equal payloads, repeated rows among them, give
+equal files; a very long text is one video of many frames; an empty table gives no rows. A null media has no clips, and
+nulls as what is read from it. Other columns are not read. Damaged files raise an error.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
+from loomspark.llm import jpeg
 from loomspark.llm.frames import arrow
 
 WIDTH = 64
@@ -45,9 +49,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _WORD, _BACK = _tables()
 
 
+#: One code of each length from 1 to 9, for the categories from 8 down to 0.
+_OWN_TABLE = {(0, 0): bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1))}
+
+
 def _jpeg_head(height: int) -> bytes:
-    counts = bytes([1] * 9 + [0] * 7)
-    dht = b"\x00" + counts + bytes(range(8, -1, -1))
+    dht = b"\x00" + _OWN_TABLE[0, 0]
     sof = struct.pack(">BHHB3B", 8, height, WIDTH, 1, 1, 0x11, 0)
     sos = bytes([1, 1, 0x00, 1, 0, 0])
     return b"\xff\xd8" + b"".join(b"\xff" + bytes([m]) + struct.pack(">H", len(x) + 2) + x for m, x in ((0xC3, sof), (0xC4, dht), (0xDA, sos)))
@@ -73,25 +80,15 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
 
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """The samples of frames that encode_frames wrote; all of one size."""
-    sizes, scans = set(), []
-    for f in frames:
-        if f[:2] != b"\xff\xd8" or f[-2:] != b"\xff\xd9":
-            raise ValueError("not a JPEG file")
-        at, kind = 2, 0
-        while kind != 0xDA:
-            kind, length = f[at + 1], struct.unpack_from(">H", f, at + 2)[0]
-            if f[at] != 0xFF:
-                raise ValueError("a JPEG marker is missing")
-            if kind == 0xC3:
-                sizes.add(struct.unpack_from(">HH", f, at + 5))
-            elif kind not in (0xC4, 0xDA):
-                raise ValueError(f"JPEG segment {kind:#x} is not read here")
-            at += 2 + length
-        scans.append(f[at:-2].replace(b"\xff\x00", b"\xff"))
-    if len(sizes) != 1:
+    """The samples of frames of one size: those with the tables and predictor of encode_frames all at once, others each by its own."""
+    parsed = [jpeg.parse(f) for f in frames]
+    if len({(f.height, f.width) for f in parsed}) != 1:
         raise ValueError("frames differ in size")
-    height, width = sizes.pop()
+    height, width = parsed[0].height, parsed[0].width
+    size = height * width // 8 * 9
+    scans = [f.data.replace(b"\xff\x00", b"\xff") if f.huffman == _OWN_TABLE and f.process == jpeg.SOF3 and f.scan[-3:] == b"\1\0\0" and not width % 8 else b"" for f in parsed]
+    if any(len(x) != size for x in scans):
+        return np.stack([jpeg.decode(f) for f in parsed])
     packed = np.frombuffer(b"".join(scans), dtype=np.uint8).reshape(-1, 9)
     top = np.ascontiguousarray(packed[:, :8]).view(">u8").ravel().astype(np.uint64)
     words = np.empty((len(packed), 8), dtype=np.uint16)
@@ -132,8 +129,8 @@ def write_avi(payload: bytes, fps: int = FPS) -> bytes:
     return _chunk(b"RIFF", body)
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], int, int]:
-    """Frames by the index, payload size, frames a second."""
+def read_avi(data: bytes) -> tuple[list[bytes], int | None, float]:
+    """Frames, payload size (None: not said), frames a second."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     found: dict[bytes, tuple[int, int]] = {}
@@ -152,18 +149,32 @@ def read_avi(data: bytes) -> tuple[list[bytes], int, int]:
             at += 8 + size + (size & 1)
 
     walk(12, 8 + struct.unpack_from("<I", data, 4)[0])
-    movi, (index, size) = found[b"movi"][0], found[b"idx1"]
-    frames = []
-    for name, _, at, length in struct.iter_unpack("<4sIII", data[index : index + size]):
-        if data[movi + at : movi + at + 4] != name:
-            raise ValueError("the index leads to no such chunk")
-        frames.append(data[movi + at + 8 : movi + at + 8 + length])
-    return frames, struct.unpack_from("<Q", data, found[b"plen"][0])[0], struct.unpack_from("<I", data, found[b"strh"][0] + 24)[0]
+    if b"movi" not in found or b"strh" not in found:
+        raise ValueError("an AVI file lacks its header or its frames")
+    (movi, end), frames = found[b"movi"], []
+    if b"idx1" in found:
+        index, size = found[b"idx1"]
+        entries = [x for x in struct.iter_unpack("<4sIII", data[index : index + size]) if x[0][2:] in (b"dc", b"db")]
+        # offsets count from the list, or in some files from the file's beginning
+        base = movi if not entries or data[movi + entries[0][2] : movi + entries[0][2] + 4] == entries[0][0] else 0
+        for name, _, at, length in entries:
+            if data[base + at : base + at + 4] != name:
+                raise ValueError("the index leads to no such chunk")
+            frames.append(data[base + at + 8 : base + at + 8 + length])
+    else:
+        at = movi + 4
+        while at + 8 <= movi + end:
+            name, length = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+            if name[2:] in (b"dc", b"db"):
+                frames.append(data[at + 8 : at + 8 + length])
+            at += 8 + length + (length & 1)
+    scale, rate = struct.unpack_from("<II", data, found[b"strh"][0] + 20)
+    return frames, struct.unpack_from("<Q", data, found[b"plen"][0])[0] if b"plen" in found else None, rate / max(scale, 1)
 
 
 def shots(samples: np.ndarray, window: int = 8, factor: float = 3.0, floor: float = 0.08) -> list[tuple[int, int]]:
     """First and last frame of each shot. A cut stands where the histogram difference to the frame before is over floor,
-    and over mean + factor * deviation of the window differences before it."""
+    and over mean + factor * deviation of the window differences before it (0 for the first)."""
     n = len(samples)
     flat = samples.reshape(n, -1)
     bins = (flat >> 4).astype(np.int64) + (np.arange(n) * 16)[:, None]
@@ -175,7 +186,7 @@ def shots(samples: np.ndarray, window: int = 8, factor: float = 3.0, floor: floa
     m = np.maximum(at - low, 1)
     mean = (sums[at] - sums[low]) / m
     dev = np.sqrt(np.maximum((squares[at] - squares[low]) / m - mean * mean, 0))
-    cuts = np.flatnonzero((diff > floor) & (diff > mean + factor * dev) & (at > 0)) + 1
+    cuts = np.flatnonzero((diff > floor) & (diff > mean + factor * dev)) + 1
     begin = [0, *cuts.tolist()]
     return list(zip(begin, [*[c - 1 for c in begin[1:]], n - 1], strict=True))
 
@@ -205,8 +216,10 @@ def clips(videos: DataFrame, id: str = "doc_id", media: str = "media") -> DataFr
             for k, data in zip(b["k"], b["m"].to_pylist(), strict=True):
                 frames, _, fps = read_avi(data)
                 x = decode_frames(frames)
-                cut = shots(x)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(cut), b["k"].type), *[pa.array(c, t) for c, t in zip(zip(*[(i, a * 1000 // fps, (z + 1) * 1000 // fps, z - a + 1, round(float(x[a : z + 1].mean()), 3)) for i, (a, z) in enumerate(cut)], strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)]], [id, "clip", "start_ms", "end_ms", "n_frames", "mean"])
+                rows = [(i, int(a * 1000 // fps), int((z + 1) * 1000 // fps), z - a + 1, round(float(x[a : z + 1].mean()), 3)) for i, (a, z) in enumerate(shots(x))]
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b["k"].type), *cols], [id, "clip", "start_ms", "end_ms", "n_frames", "mean"])
 
     rows = videos.where(F.col(media).isNotNull()).select(F.col(id).alias("k"), F.col(media).alias("m"))
     schema = videos.select(id).schema.add("clip", "integer").add("start_ms", "long").add("end_ms", "long").add("n_frames", "integer").add("mean", "double")
@@ -220,12 +233,15 @@ def inspect(videos: DataFrame, id: str = "doc_id") -> DataFrame:
         for b in batches:
             out = []
             for data in b["media"].to_pylist():
+                if data is None:
+                    out.append((None,) * 6)
+                    continue
                 frames, size, fps = read_avi(data)
                 x = decode_frames(frames)
                 payload = x.tobytes()[:size]
                 cut = shots(x)
-                said = ",".join(f"{a * 1000 // fps}-{(z + 1) * 1000 // fps}" for a, z in cut)
-                out.append((size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(frames)};shots={len(cut)};mean={x.mean():.3f};clips={said}"))
+                said = ",".join(f"{int(a * 1000 // fps)}-{int((z + 1) * 1000 // fps)}" for a, z in cut)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(frames)};shots={len(cut)};mean={x.mean():.3f};clips={said}"))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)]
             yield pa.RecordBatch.from_arrays([b["k"], b["n_bytes"], *cols], [id, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
