@@ -1,18 +1,23 @@
 """Token-id shards compressed by Re-Pair.
 
 A shard holds the ids of a range of documents in ascending order of id. Frequent pairs of neighbouring symbols are
-replaced by nonterminals, round after round; in a round all of the RULES_PER_ROUND most frequent pairs that occur often
-enough are replaced at once, overlaps from the left. A pair never spans two documents. The shard stores the rules with
-their expansion lengths, the symbols that are left, and for each document its place among symbols and ids: any
-document, or any of its ids, is decoded alone.
-
-Shard format, little-endian: magic `LRP1`; u32 numbers of documents, rules, symbols, first nonterminal; then rules
-(u32 left, right, expansion length), symbols (u32), and documents (i64 id, u32 first symbol, u64 first id in the shard).
+replaced by nonterminals, round after round, until no pair occurs LEAST_COUNT times. In a round every pair that occurs
+so often is counted, and a pair is replaced where it is more frequent than the two pairs that overlap it (ties by a hash
+of the pair, so that copies of a passage are parsed alike; of a run of one symbol every second pair). A pair of two old
+symbols that is rare stays rare, so only pairs next to a replacement are counted again: later rounds are cheap. A pair
+never spans two documents. The shard stores the rules with their expansion lengths, the symbols that are left, and each
+document's numbers of symbols and ids: any document, or any of its ids, is decoded alone.
+
+Shard format, little-endian: magic `LRP2`; u32 numbers of documents, rules, symbols, first nonterminal; i64 first
+document id; u8 widths in bits of ids' steps, symbols, lengths, counts; then, each packed to its width and padded to a
+byte: document ids as steps (sign in the lowest bit), rules' left and right parts, rules' expansion lengths, symbols, documents' numbers of
+symbols, and of ids.
 
 Shards are a table in the shared folder (part, shard, n_docs, n_ids, data), range-partitioned by document id.
 
-Defined cases: a null or empty text has the end id alone; rows that share an id stand one after another in any order;
-an empty table has no shard. Null ids come first.
+Defined cases: a null or empty text has the end id alone; rows that share an id, repeated rows among them, stand one
+after another in any order; a very long text stays in one shard, which it may make larger than SHARD_IDS; an empty
+table has no shard. Null ids count as 0. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,75 +36,115 @@ from loomspark.llm.tokens import encoder as encoder_of
 from loomspark.plans.shared import saved
 
 END = 2
-ROUNDS = 4
-RULES_PER_ROUND = 1024
-LEAST_COUNT = 12
+#: Occurrences from which a pair is replaced: a rule takes the room of about three symbols.
+LEAST_COUNT = 8
 SHARD_IDS = 1_000_000
 TEXTS_AT_ONCE = 250
-_SLOTS = 20
-_MAGIC = b"LRP1"
-
+_SLOTS = 18
+_MAGIC = b"LRP2"
+_HEAD = "<4Iq4B"
 
-def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
+def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, where documents end among them, rules (left, right, expansion length), and the first nonterminal. last: true at each document's last id.
 
-def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, where documents end among them, rules (left, right, expansion length), and the first nonterminal. last: true at each document's last id."""
+    Pairs are counted in slots of a hash that changes from round to round. A slot counts one pair, the one that stands in
+    it last; another pair of the same slot waits for a round in which it has a slot of its own, so counts are exact.
+    """
     first = int(ids.max()) + 1 if len(ids) else 1
     symbols, last = ids.astype(np.uint32), last.astype(bool)
     rules: list[np.ndarray] = []
     size = np.ones(first, dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        slot = _slot(left, right)
-        slot[last[:-1]] = 1 << _SLOTS
-        count = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
-        count[-1] = 0
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+    open_ = np.flatnonzero(~last)  # where a pair begins that may be frequent
+    holder = np.zeros(1 << _SLOTS, dtype=np.uint64)
+    number = np.zeros(1 << _SLOTS, dtype=np.int64)
+    odd = 0x9E3779B97F4A7C15
+    while len(open_):
+        key = symbols[open_].astype(np.uint64) << np.uint64(32) | symbols[open_ + 1]
+        slot = ((key * np.uint64(odd)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        odd = odd * 0x5851F42D4C957F2D & (1 << 64) - 1
+        # a slot's count is at least a pair's: most rare pairs go at once
+        often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= least
+        open_, key, slot = open_[often], key[often], slot[often]
+        holder[slot] = key
+        held = holder[slot] == key
+        n = np.bincount(slot[held], minlength=1 << _SLOTS)[slot]
+        n[~held] = 0
+        keep = ~held | (n >= least)
+        open_, slot, n = open_[keep], slot[keep], n[keep]
+        if not len(open_):
             break
-        often = often[np.argsort(-count[often], kind="stable")[:per_round]]
-        wanted = np.zeros((1 << _SLOTS) + 1, dtype=bool)
-        wanted[often] = True
-        at = np.flatnonzero(wanted[slot])
-        pair, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_counts=True)
-        pair, n = pair[n >= least], n[n >= least]
-        pair = np.sort(pair[np.argsort(-n, kind="stable")[:per_round]])
-        if not len(pair):
-            break
-        key = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        rule = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-        ok = pair[rule] == key
-        at, rule = at[ok], rule[ok]
-        # of matches that overlap in a row, every second one from the left
-        begin = np.diff(at, prepend=-9) != 1
-        place = np.arange(len(at)) - np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
-        at, rule = at[place % 2 == 0], rule[place % 2 == 0]
-        a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        score = np.where(n > 0, n << _SLOTS | slot, 0)
+        joined = np.diff(open_) == 1
+        before, after = np.append(0, np.where(joined, score[:-1], 0)), np.append(np.where(joined, score[1:], 0), 0)
+        best = (score > 0) & (before <= score) & (after <= score)
+        # of a run of equal pairs every second one
+        twin = np.flatnonzero(best & (before == score))
+        taken = best.copy()
+        if len(twin):
+            begin = np.flatnonzero(before != score)
+            taken[twin] = (twin - begin[np.searchsorted(begin, twin, side="right") - 1]) % 2 == 0
+        at, of = open_[taken], slot[taken]
+        used = np.bincount(of, minlength=1 << _SLOTS)
+        pays = used[of] >= least
+        at, of = at[pays], of[pays]
+        if not len(at):  # what is best overlaps itself too often: it is done, unless others wait for a slot
+            open_ = open_[~best]
+            continue
+        kind = np.flatnonzero(used >= least)
+        number[kind] = np.arange(len(kind))
+        a, b = (holder[kind] >> np.uint64(32)).astype(np.int64), (holder[kind] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rules.append(np.stack([a, b, size[a] + size[b]], axis=1))
-        symbols = symbols.copy()
-        symbols[at] = rule + len(size)
+        symbols[at] = number[of] + len(size)
         size = np.concatenate([size, size[a] + size[b]])
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        seen = np.zeros(len(symbols), dtype=bool)
+        seen[open_] = True
+        seen[at] = True
+        symbols, last, seen = symbols[keep], last[keep], seen[keep]
+        new = at - np.arange(len(at))  # places after the cut
+        seen[np.maximum(new - 1, 0)] = True
+        open_ = np.flatnonzero(seen & ~last)
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 3), dtype=np.int64), first
 
 
+def _bits(values: np.ndarray) -> int:
+    return max(1, int(values.max()).bit_length()) if len(values) else 1
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    out = bytearray()
+    for i in range(0, len(values), 1 << 16):  # whole bytes: 2**16 values of any width
+        part = values[i : i + (1 << 16)].astype(np.uint64)
+        out += np.packbits(((part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+    return bytes(out)
+
+
+def _unpacked(data: memoryview, n: int, width: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    for i in range(0, n, 1 << 16):
+        m = min(1 << 16, n - i)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-m * width // 8), i // 8 * width), count=m * width, bitorder="little").reshape(m, width)
+        for k in range(width):
+            out[i : i + m] |= bits[:, k].astype(np.int64) << k
+    return out
+
+
 def write_shard(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """ends: each document's end among ids; no document is empty."""
+    """doc_ids: ascending. ends: each document's end among ids; no document is empty."""
     last = np.zeros(len(ids), dtype=bool)
     last[ends - 1] = True
     symbols, last, rules, first = compress(ids, last)
-    at = np.append(0, np.flatnonzero(last)[:-1] + 1)
-    docs = np.zeros(len(doc_ids), dtype=[("id", "<i8"), ("symbol", "<u4"), ("start", "<u8")])
-    docs["id"], docs["symbol"], docs["start"] = doc_ids, at, np.append(0, ends[:-1])
-    return _MAGIC + struct.pack("<4I", len(doc_ids), len(rules), len(symbols), first) + rules.astype("<u4").tobytes() + symbols.astype("<u4").tobytes() + docs.tobytes()
+    per = np.diff(np.flatnonzero(last), prepend=-1)
+    counts = np.concatenate([per, np.diff(ends, prepend=0)])
+    steps = np.diff(doc_ids, prepend=doc_ids[:1])
+    steps = steps << 1 ^ steps >> 63  # a null id counts as 0, before negative ones
+    widths = [_bits(steps), max(1, (first + len(rules) - 1).bit_length()), _bits(rules[:, 2]), _bits(counts)]
+    head = struct.pack(_HEAD, len(doc_ids), len(rules), len(symbols), first, int(doc_ids[0]) if len(doc_ids) else 0, *widths)
+    parts = [(steps, 0), (rules[:, 0], 1), (rules[:, 1], 1), (rules[:, 2], 2), (symbols, 1), (counts[: len(per)], 3), (counts[len(per) :], 3)]
+    return _MAGIC + head + b"".join(_packed(values, widths[k]) for values, k in parts)
 
 
 class Shard:
@@ -108,23 +153,28 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != _MAGIC:
             raise ValueError("not a shard")
-        n_docs, n_rules, n_symbols, self.first = struct.unpack_from("<4I", data, 4)
-        at = 20
-        self.rules = np.frombuffer(data, "<u4", n_rules * 3, at).reshape(-1, 3).astype(np.int64)
-        at += n_rules * 12
-        self.symbols = np.frombuffer(data, "<u4", n_symbols, at).astype(np.int64)
-        at += n_symbols * 4
-        self.docs = np.frombuffer(data, [("id", "<i8"), ("symbol", "<u4"), ("start", "<u8")], n_docs, at)
+        n_docs, n_rules, n_symbols, self.first, least, *widths = struct.unpack_from(_HEAD, data, 4)
+        view, at, parts = memoryview(data), 4 + struct.calcsize(_HEAD), []
+        for n, k in ((n_docs, 0), (n_rules, 1), (n_rules, 1), (n_rules, 2), (n_symbols, 1), (n_docs, 3), (n_docs, 3)):
+            parts.append(_unpacked(view[at:], n, widths[k]))
+            at += sum(-(-min(1 << 16, n - i) * widths[k] // 8) for i in range(0, n, 1 << 16))
+        steps, left, right, length, self.symbols, symbols, ids = parts
+        self.ids = least + np.cumsum(steps >> 1 ^ -(steps & 1))
+        self.symbol, self.start = np.append(0, np.cumsum(symbols)), np.append(0, np.cumsum(ids))
+        self.rules = np.stack([left, right, length], axis=1)
         # each nonterminal's ids, one after another; a rule's parts stand before it
-        size = self.rules[:, 2]
-        self.size = np.concatenate([np.ones(self.first, dtype=np.int64), size])
-        self.at = np.concatenate([np.arange(self.first), self.first + np.cumsum(size) - size])
-        self.flat = np.zeros(self.first + int(size.sum()), dtype=np.uint32)
+        self.size = np.concatenate([np.ones(self.first, dtype=np.int64), length])
+        self.at = np.concatenate([np.arange(self.first), self.first + np.cumsum(length) - length])
+        self.flat = np.zeros(self.first + int(length.sum()), dtype=np.uint32)
         self.flat[: self.first] = np.arange(self.first)
-        for k, (a, b, _) in enumerate(self.rules.tolist()):
-            x = self.at[self.first + k]
-            self.flat[x : x + self.size[a]] = self.flat[self.at[a] : self.at[a] + self.size[a]]
-            self.flat[x + self.size[a] : x + self.size[a] + self.size[b]] = self.flat[self.at[b] : self.at[b] + self.size[b]]
+        needs = np.maximum(left, right) - self.first  # the latest rule that a rule is made of
+        done = 0
+        while done < n_rules:  # all rules at once that need none of themselves
+            wait = np.flatnonzero(needs[done:] >= done)
+            stop = done + int(wait[0]) if len(wait) else n_rules
+            got = self.expand(np.stack([left[done:stop], right[done:stop]], axis=1).ravel())
+            self.flat[self.at[self.first + done] : self.at[self.first + done] + len(got)] = got
+            done = stop
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
@@ -133,8 +183,7 @@ class Shard:
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of the k-th document; only the symbols that hold them are expanded."""
-        end = int(self.docs["symbol"][k + 1]) if k + 1 < len(self.docs) else len(self.symbols)
-        symbols = self.symbols[int(self.docs["symbol"][k]) : end]
+        symbols = self.symbols[self.symbol[k] : self.symbol[k + 1]]
         edge = np.cumsum(self.size[symbols])
         stop = int(edge[-1]) if stop is None else min(stop, int(edge[-1]))
         a, z = np.searchsorted(edge, start, side="right"), np.searchsorted(edge, stop, side="left")
@@ -142,8 +191,7 @@ class Shard:
         return self.expand(symbols[a : z + 1])[start - skipped : stop - skipped]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.expand(self.symbols)
-        return ids, np.append(self.docs["start"].astype(np.int64), len(ids))
+        return self.expand(self.symbols), self.start
 
 
 def write_shards(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -197,6 +245,6 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ids, at = s.all()
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.docs["id"]), pa.array(at[:-1] + known.value[part, shard]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(at[:-1] + known.value[part, shard]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return arrow(shards.select("part", "shard", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,6 +3,10 @@
 Both vocabularies' pre-tokenizers never join what stands on two sides of white space, but for the one space before a
 word (byte-level) and none (word-level); so a text is its pieces' ids one after another. A text with white space outside
 ASCII's, or with a special token's marks, is encoded as a whole.
+
+A piece of up to 16 bytes is known by its size, its first and its last eight bytes, which are all of it: two tables of
+slots say where it may be kept, and it is found only if all three are equal. Longer pieces are kept by their bytes. So
+ids never rest on a hash.
 """
 
 from __future__ import annotations
@@ -20,7 +24,17 @@ _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[33:127] = 2
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
 _KIND[39] = 0
-CACHE_PIECES = 700_000
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: How the two vocabularies mark a word's beginning after a space, and its end.
+SPACED, CLOSED = "\u0120", "</w>"
+#: Pieces that are kept; then all are let go. Slots of a table: two to the power of.
+CACHE_PIECES = 1_000_000
+_SLOTS = 21
+SHORT = 16
+#: Bytes with which white space outside ASCII's blanks, or a special token, may begin.
+_MAYBE_ODD = np.zeros(256, dtype=bool)
+_MAYBE_ODD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x3C, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -39,11 +53,19 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.with_space = Tokenizer.from_file(path), with_space
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (byte-level) or end a word
+        self.edge[[k for t, k in vocabulary.items() if (t.startswith(SPACED) if with_space else t.endswith(CLOSED))]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.at, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.n = self.n_ids = 0
+        self.head, self.tail = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.uint64)
+        self.bytes = np.zeros(1 << 16, dtype=np.uint8)
+        self.at, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+        self.ids = np.zeros(1 << 18, dtype=np.uint32)
+        self.slots = np.full((2, 1 << _SLOTS), -1, dtype=np.int32)
+        self.long: dict[bytes, int] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -76,43 +98,117 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin."""
-        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        raw = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
+        raw = [t.encode() for t in texts]
         buf, starts = B.joined(raw)
+        maybe = np.unique(np.searchsorted(starts, np.flatnonzero(_MAYBE_ODD[buf]), side="right") - 1)
+        odd = [i for i in maybe.tolist() if _ODD_SPACE.search(texts[i])]
+        if odd:
+            for i in odd:
+                raw[i] = b""
+            buf, starts = B.joined(raw)
         s, e = self._pieces(buf, starts)
-        values = B.BYTE_VALUES if self.with_space else B.LOWER_VALUES  # word-level ids don't depend on case
-        key = B.range_hash(B.prefix(buf, values), s, e) ^ (e - s).astype(np.uint64)
-        unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-        row = self._lookup(unique, first, s, e, buf)
-        piece = row[back]
-        size = self.at[piece + 1] - self.at[piece]
+        piece = self._rows(buf, s, e)
+        size = self.size[piece]
         total = np.zeros(len(piece) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
         ids = self.ids[np.repeat(self.at[piece] - total[:-1], size) + np.arange(total[-1])]
         at = total[np.searchsorted(s, starts)]
         if not odd:
             return ids, at
-        parts = [self.whole(texts[i]) if i in odd else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+        parts = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i in odd:
+            parts[i] = self.whole(texts[i])
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
-    def _lookup(self, unique: np.ndarray, first: np.ndarray, s: np.ndarray, e: np.ndarray, buf: np.ndarray) -> np.ndarray:
-        """Each distinct piece's row in the cache, after the new ones have been encoded."""
-        if len(self.keys) > CACHE_PIECES:
+    def _rows(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Where each piece is kept, after the new ones have been encoded."""
+        if self.n > CACHE_PIECES:
             self._clear()
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), dtype=bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == unique[inside]
-        row = np.empty(len(unique), dtype=np.int64)
-        row[known] = self.rows[place[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = buf.tobytes()
-            got = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)], add_special_tokens=False)
-            ids = [x.ids for x in got]
-            row[new] = len(self.at) - 1 + np.arange(len(new))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
-            self.ids = np.concatenate([self.ids, np.array([y for x in ids for y in x], dtype=np.uint32)])
-            self.keys = np.insert(self.keys, place[new], unique[new])
-            self.rows = np.insert(self.rows, place[new], row[new])
+        low = buf if self.with_space else _FOLD[buf]  # word-level ids don't depend on case
+        raw = low.tobytes()
+        words = np.ndarray(len(low), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+        size = (e - s).astype(np.uint64)
+        empty = np.uint64(8) * (np.uint64(8) - np.minimum(size, np.uint64(8)))
+        head = words[s] << empty >> empty
+        tail = np.where(size > 8, words[np.maximum(e - 8, 0)], np.uint64(0))
+        key = B.mix((head ^ tail * np.uint64(0x9E3779B97F4A7C15)) + size * np.uint64(0xD1B54A32D192ED03))
+        places = (key >> np.uint64(64 - _SLOTS)).astype(np.int64), (key & np.uint64((1 << _SLOTS) - 1)).astype(np.int64)
+        is_long = size > SHORT
+        row = self._kept(self.slots[0][places[0]], head, tail, size)
+        miss = np.flatnonzero((row < 0) & ~is_long)
+        row[miss] = self._kept(self.slots[1][places[1][miss]], head[miss], tail[miss], size[miss])
+        for k in np.flatnonzero(is_long).tolist():
+            row[k] = self.long.get(raw[s[k] : e[k]], -1)
+        miss = np.flatnonzero(row < 0)
+        if not len(miss):
+            return row
+        # new pieces, each once: equal ones stand together in an order of all that they are
+        short = miss[~is_long[miss]]
+        short = short[np.lexsort((size[short], tail[short], head[short]))]
+        new = np.ones(len(short), dtype=bool)
+        new[1:] = (head[short][1:] != head[short][:-1]) | (tail[short][1:] != tail[short][:-1]) | (size[short][1:] != size[short][:-1])
+        first, extra = short[new].tolist(), []
+        row[short] = self.n + np.cumsum(new) - 1
+        for k in miss[is_long[miss]].tolist():
+            word = raw[s[k] : e[k]]
+            if word not in self.long:
+                self.long[word] = self.n + len(first) + len(extra)
+                extra.append(k)
+            row[k] = self.long[word]
+        first += extra
+        lengths, ids = self._encoded([raw[a:b].decode() for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+        self._keep(np.array(first), len(first) - len(extra), lengths, ids, head, tail, size, places)
         return row
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids.
+
+        Pieces of letters are encoded many at a time, as they may stand in a text, and parted where the vocabulary marks
+        a word's edge; where the number of edges isn't that of the pieces, these go one by one like all others.
+        """
+        own = [w[1:] if w[:1] == " " else "" for w in words] if self.with_space else words
+        plain = [k for k, w in enumerate(own) if w.isalpha() and (w.isascii() or max(w) < "\u0250")]
+        lengths, parts = np.zeros(len(words), dtype=np.int64), {}
+        runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        joined = ("" if self.with_space else " ").join
+        encoded = self.tokenizer.encode_batch_fast([joined([words[k] for k in run]) for run in runs], add_special_tokens=False)
+        alone = np.ones(len(words), dtype=bool)
+        for run, x in zip(runs, encoded, strict=True):
+            ids = np.array(x.ids, dtype=np.uint32)
+            at = np.flatnonzero(self.edge[ids])
+            edges = np.append(at, len(ids)) if self.with_space else np.append(0, at + 1)
+            if len(at) == len(run) and edges[0] == 0 and edges[-1] == len(ids):
+                lengths[run], alone[run] = np.diff(edges), False
+                parts[run[0]] = ids
+        rest = np.flatnonzero(alone)
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        lengths[rest] = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        # ids in order of the pieces: those of runs, then the others, each put at its place
+        order = np.concatenate([*[np.array(r) for r in runs if r[0] in parts], rest]) if len(words) else rest
+        flat = np.concatenate([*[parts[r[0]] for r in runs if r[0] in parts], np.fromiter((i for g in got for i in g), dtype=np.uint32)])
+        start = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), dtype=np.uint32)
+        size = lengths[order]
+        out[np.repeat(start[order] - np.cumsum(size) + size, size) + np.arange(len(out))] = flat
+        return lengths, out
+
+    def _kept(self, row: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """row where what is kept there is the piece, else -1."""
+        ok = (row >= 0) & (self.head[row] == head) & (self.tail[row] == tail) & (self.bytes[row] == size)
+        return np.where(ok, row, -1).astype(np.int64)
+
+    def _keep(self, first: np.ndarray, short: int, lengths: np.ndarray, ids: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> None:
+        a, z = self.n, self.n + len(first)
+        while z > len(self.head):
+            for name in ("head", "tail", "bytes", "at", "size"):
+                setattr(self, name, np.concatenate([getattr(self, name)] * 2))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids] * 2)
+        self.head[a:z], self.tail[a:z], self.bytes[a:z] = head[first], tail[first], np.minimum(size[first], 255)
+        self.at[a:z], self.size[a:z] = self.n_ids + np.cumsum(lengths) - lengths, lengths
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        own, rows = first[:short], np.arange(a, a + short, dtype=np.int32)
+        full = self.slots[0][places[0][own]] >= 0
+        self.slots[0][places[0][own[~full]]] = rows[~full]
+        self.slots[1][places[1][own[full]]] = rows[full]
+        self.n, self.n_ids = z, self.n_ids + len(ids)
