@@ -7,7 +7,9 @@ unpacked pieces whose lengths together fit the grown gap most tightly are put in
 is repeated as often as the counts allow. A piece's bin then follows from its length and its rank among the pieces of
 that length, and ranks are sums of counts by partition. All pieces of full length fill sequences of their own.
 
-Defined cases: a null or empty text has the end id alone; repeated rows are pieces each; an empty table gives no rows.
+Defined cases: a null or empty text has the end id alone; repeated rows, and rows that share an id or have none, are
+pieces each; a very long text is encoded whole and cut; of pieces of one length any may stand in any of their places; an
+empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -125,23 +127,39 @@ def pack(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", cap
     table = places(best_two_fit(counts, capacity))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # runs of bins: bounded by the capacity too
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    ranked = pieces.join(by_part.select("part", "length", before.alias("before")), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # each part's pieces meet its own counts of what stands before, which are sorted in front of them: nothing of the size of parts x lengths is sent anywhere
+    empty = {c: F.lit(None).cast(pieces.schema[c].dataType) for c in (id, "piece", "start", "ids_crc32")}
+    ahead = by_part.select("part", "length", before.cast("long").alias("nth")).withColumns(empty).withColumn("own", F.lit(False))
+    both = pieces.withColumn("own", F.lit(True)).unionByName(ahead).repartition("part").sortWithinPartitions("part", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
+        ahead, at = np.zeros(capacity + 1, dtype=np.int64), None
         for b in batches:
-            length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
-            sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
-            for x in np.unique(length):
-                rows = np.flatnonzero(length == x)
-                of = runs[int(x)]
+            part, length, nth, own = (b[c].to_numpy(zero_copy_only=False) for c in ("part", "length", "nth", "own"))
+            rank, keep = np.zeros(len(part), dtype=np.int64), np.flatnonzero(own)
+            edges = np.flatnonzero(np.diff(part, prepend=part[:1] - 1)).tolist()
+            for x, y in zip(edges, [*edges[1:], len(part)], strict=True):
+                if part[x] != at:
+                    ahead[:], at = 0, part[x]
+                first = x + int(np.searchsorted(own[x:y], True))
+                ahead[length[x:first]] = nth[x:first]
+                rank[first:y] = nth[first:y] + ahead[length[first:y]]
+            length, rank = length[keep], rank[keep]
+            sequence, offset = np.zeros(len(keep), dtype=np.int64), np.zeros(len(keep), dtype=np.int64)
+            order = np.argsort(length, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                if not len(rows):
+                    continue
+                of = runs[int(length[rows[0]])]
                 k = np.searchsorted(of[:, 0], rank[rows], side="right") - 1
                 sequence[rows] = of[k, 1] + rank[rows] - of[k, 0]
                 offset[rows] = of[k, 2]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in names[:5]], pa.array(sequence), pa.array(offset)], names)
+            kept = b.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*[kept[c] for c in names[:5]], pa.array(sequence), pa.array(offset)], names)
 
     names = [id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     schema = docs.select(id).schema
     for name, kind in zip(names[1:], ("integer", "long", "long", "long", "long", "long"), strict=True):
         schema = schema.add(name, kind)
-    return arrow(ranked.select(*names[:5], "rank"), run, schema)
+    return arrow(both.select(*names[:5], "part", "nth", "own"), run, schema)
