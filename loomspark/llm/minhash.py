@@ -9,21 +9,25 @@ The pairs of a list are never written out. First, each list is tied to its small
 those with enough matches are confirmed on the full sets, and components are formed. Lists that lie in one
 component are then done, as are all large groups of true copies. In the rest, pairs from different components are
 matched inside the task and only those with enough matches leave it; in lists of more than BINNED_ROWS these are also
-compared by one-permutation bins, which for such set sizes are close to the sets themselves; a linked pair is below the bound there with a chance of about 3.4e-6 (normal tail), so a pair at
-just the threshold is dropped with a chance of at most about 1.8e-5 in all. They are confirmed too. The texts of a list longer
-than LIST_ROWS, such as that of a line that very many texts hold, are matched over their rarest shingles instead, of
-which linked texts must share one; no list is cut or left out. Links that are confirmed connect exactly the components of the full similarity graph.
+compared by one-permutation bins, which for such set sizes are close to the sets themselves; a linked pair is below the
+bound there with a chance of about 3.4e-6 (normal tail), so a pair at just the threshold is dropped with a chance of at
+most about 1.8e-5 in all. They are confirmed too. The texts of a list longer than LIST_ROWS, such as that of a line that
+very many texts hold, are matched over their rarest shingles instead, of which linked texts must share one; a list by
+shingle that is longer still is dealt into blocks whose pairs are lists of their own. No list is cut or left out. Links
+that are confirmed connect exactly the components of the full similarity graph.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of fewer than five words
 has its whole sequence as its one shingle; a null, empty or blank text has none and is linked with nothing; repeated
-rows are equal sets and each keeps its row. Ids are integers; rows that share an id are one node of the graph.
+rows are equal sets and each keeps its row. Ids are integers; rows that share an id are one node of the graph, and a null
+id has no component. A very long text is one set, held whole by one task; an empty table gives no rows; of equal minima
+and counts the smallest id leads. Other columns are not read. Words and shingles are held by 64-bit hashes (words of over
+LONG_WORD bytes by a keyed digest).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +127,10 @@ def _star_pairs(postings: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _matches(rows: dict[str, np.ndarray], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs inside each group (at: where groups begin) that may be linked and lie in different components."""
-    comp, n, head, tail, coord, mask, has, rank, bins = (rows[c] for c in ("comp", "n_shingles", "head", "tail", "coord", "mask", "has", "rank", "bins"))
+    comp, n, head, tail, coord, mask, has, rank, bins, side = (rows[c] for c in ("comp", "n_shingles", "head", "tail", "coord", "mask", "has", "rank", "bins", "side"))
 
     def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = (comp[i] != comp[j]) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
+        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
         i, j = i[ok], j[ok]
         same = head[i] == head[j]
         ok = same.sum(1) + (tail[i] == tail[j]).sum(1) >= MIN_MATCHES
@@ -164,11 +168,14 @@ def _matches(rows: dict[str, np.ndarray], at: np.ndarray) -> Iterator[tuple[np.n
 
 
 def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """lists: key, coord (-1: by shingle), mask (coordinates with long lists), doc_id, comp, n_shingles, sig, bins. Pairs of different components that share a list and enough coordinates."""
+    """lists: key, coord (-1: by shingle), mask (coordinates with long lists), side (-1: all of a list's rows meet; else only rows of different sides), doc_id, comp, n_shingles, sig, bins.
+
+    Pairs of different components that share a list and enough coordinates.
+    """
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
         key = part["key"].to_numpy()
-        rows = {c: part[c].to_numpy() for c in ("doc_id", "comp", "n_shingles", "coord", "mask")}
+        rows = {c: part[c].to_numpy() for c in ("doc_id", "comp", "n_shingles", "coord", "mask", "side")}
         sig = np.concatenate([c.flatten().to_numpy() for c in part["sig"].chunks]).reshape(len(key), WIDTH)
         rows["head"], rows["tail"] = sig[:, :PREFIX], np.ascontiguousarray(sig[:, PREFIX:]).view(np.uint16)
         got = [x for x in part["bins"].to_pylist() if x is not None]
@@ -201,7 +208,21 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     return arrow(lists.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
-def _rare_lists(long: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+def _parted(rows: DataFrame, counts: DataFrame, list_rows: int) -> DataFrame:
+    """rows (key, doc_id) in lists of about list_rows rows at most twice: a longer list is dealt into blocks, and each two blocks are a list of two sides.
+
+    counts: key and n. Every pair of a list's rows meets in one task, whatever the list's size.
+    """
+    parts = F.ceil(F.col("n") / list_rows).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    met = rows.join(counts.select("key", parts.alias("parts")), "key").withColumn("own", own)
+    met = met.withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return met.select(key.alias("key"), side.alias("side"), "doc_id")
+
+
+def _rare_lists(long: DataFrame, docs: DataFrame, list_rows: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Lists by shingle for the texts of long coordinate lists, whatever made those long, and the saved tables behind them.
 
     A text of n shingles shares at least PERCENT of them with any that it is linked with; so if all order their shingles
@@ -225,8 +246,8 @@ def _rare_lists(long: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple[Data
     shared = shingles.join(often, "key").withColumn("place", F.row_number().over(of_text.orderBy("often", "key"))).withColumn("shared", F.count("*").over(of_text))
     first = F.col("place") + n - F.col("shared") <= n - F.ceil(n * PERCENT / 100) + 1
     posted = saved(shared.join(long.select("doc_id", "comp", "n_shingles"), "doc_id").where(first).select("key", "doc_id", "comp"), "rare")
-    mixed = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return posted.select("key", "doc_id").join(mixed, "key").join(long, "doc_id"), (shingles, posted)
+    mixed = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    return _parted(posted.select("key", "doc_id"), mixed, list_rows).join(long, "doc_id"), (shingles, posted)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -279,9 +300,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lis
     discard(postings, reps)
     long = members.where("mask <> 0").drop("lists")
     short = members.select(F.explode("lists").alias("list"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
-    short = short.select("list.key", F.shiftright("list.key", 32).cast("int").alias("coord"), "mask", "doc_id", "comp", "n_shingles", "sig", F.when(F.col("list.n") > BINNED_ROWS, F.col("bins")).alias("bins"))
-    rare, behind = _rare_lists(long, docs)
-    rare = rare.select("key", F.lit(-1).alias("coord"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
+    short = short.select("list.key", F.shiftright("list.key", 32).cast("int").alias("coord"), "mask", F.lit(-1).alias("side"), "doc_id", "comp", "n_shingles", "sig", F.when(F.col("list.n") > BINNED_ROWS, F.col("bins")).alias("bins"))
+    rare, behind = _rare_lists(long, docs, list_rows)
+    rare = rare.select("key", F.lit(-1).alias("coord"), "mask", "side", "doc_id", "comp", "n_shingles", "sig", "bins")
     pairs = _cross_pairs(short.unionByName(rare)).join(stars, ["a", "b"], "left_anti")
     pairs = saved(pairs, "pairs")
     discard(members, *behind)
