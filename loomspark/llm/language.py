@@ -6,6 +6,9 @@ Stochastic gradient descent in numpy fits embeddings and softmax together; a tem
 did not see calibrates the probabilities, and the rejection threshold is the given quantile of that part's right answers.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row every text is.
+Repeated rows get a row and the same prediction each; a very long text is counted whole; an empty table has no rows; of
+equal probabilities the label that is first in order wins. Other columns are not read; keep may not name `lang_pred`,
+`lang_score` or `rejected`.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
 from loomspark.llm.frames import arrow
+from loomspark.plans.shared import saved
 
 UNKNOWN = "und"
 #: Most labelled rows that a fit reads: those first by a hash of their id.
@@ -112,9 +116,12 @@ def sgd(x: np.ndarray, y: np.ndarray, labels: tuple[str, ...], reject: float = 0
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS) -> LanguageModel:
-    """Fit on at most max_rows rows that have a label and a letter."""
-    rows = labelled.select(F.col(id).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null")
-    chosen = rows.withColumn("o", F.xxhash64("k")).orderBy("o", "k", "y").limit(max_rows).select("k", "t", "y")
+    """Fit on at most max_rows rows that have an id, a label and a letter: ids are chosen first, then meet the texts once, by broadcast."""
+    rows = labelled.select(F.col(id).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
+    ids = rows.where(F.col("k").isNotNull() & F.col("y").isNotNull() & F.col("t").rlike(r"\p{L}")).select("k").distinct()
+    chosen = saved(ids.orderBy(F.xxhash64("k"), "k").limit(max_rows), "chosen")
+    # rows that share an id are one, of its least label and text
+    chosen = rows.join(F.broadcast(chosen), "k").where("t is not null and y is not null").groupBy("k").agg(F.min(F.struct("y", "t")).alias("r")).select("k", "r.t", "r.y")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
