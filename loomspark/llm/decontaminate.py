@@ -9,14 +9,17 @@ Words are runs of bytes outside ASCII other than letters and digits, with A-Z lo
 lower case) so that it finds more, and the comparison decides.
 
 Defined cases: a null or empty text has no words and is never contaminated; an item without words has no window;
-repeated items count as items each; an empty benchmark hits nothing; repeated rows get the same values each.
+repeated items count as items each, those that share an id as one; an empty benchmark hits nothing, an empty table of
+documents has no rows; repeated rows get the same values each (rows that share an id get the hits of all of them: number
+them first); a very long text is scanned whole, in time of its words and hits. Other columns are not read and come back
+as they were; names that begin with two underscores are kept for the operators of this package.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.frames import only
@@ -105,21 +108,18 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", id: str = "doc
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """doc_id, spans: the hit words as sorted ranges [a, b) that don't touch."""
-    each = F.array_sort(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))))
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return found.groupBy("doc_id").agg(each.alias("hits")).select("doc_id", F.aggregate("hits", none, step).alias("spans"))
+    """doc_id, a, b: the hit words as ranges [a, b) that don't touch."""
+    hit = found.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")).groupBy("doc_id", "a").agg(F.max("b").alias("b"))
+    in_order = Window.partitionBy("doc_id").orderBy("a")  # of one text's hits
+    begins = F.coalesce(F.col("a") > F.max("b").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = hit.withColumn("begins", begins.cast("long")).withColumn("run", F.sum("begins").over(in_order))
+    return runs.groupBy("doc_id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     found = saved(hits(docs, benchmark_windows(benchmark, window=window), text, id), "hits")
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    words = _merged(found).select("doc_id", covered.alias("n_hit"))
+    words = _merged(found).groupBy("doc_id").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"))
     items = found.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     per = words.join(items, "doc_id")
     rows = docs.select(F.col(id).alias("doc_id"), F.size(_words(text)).cast("long").alias("n_words"))
@@ -147,7 +147,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", text: str
         return docs.join(bad, F.col(id) == F.col("__hit"), "left_anti")
     if mode != "spans":
         raise ValueError("mode is documents or spans")
-    spans = _merged(found).select(F.col("doc_id").alias("__hit"), F.col("spans").alias("__spans"))
+    spans = _merged(found).groupBy(F.col("doc_id").alias("__hit")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("__spans"))
     # few are broadcast, so that clean texts stay where they are
     spans = saved(spans, "spans")
     few = _checked(spans, spans.count(), BROADCAST_SPANS)
@@ -156,11 +156,16 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", text: str
     words = _words(text)
     between = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     share = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]) / F.size(words)
-    kept = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.exists("__spans", lambda x: (x["a"] <= i) & (i < x["b"])))
+    # a sign for each word, 1 if it is hit: in time of the words and the spans together
+    repeat = lambda sign, n: F.repeat(F.lit(sign), n.cast("int"))
+    last = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda x: x["b"]))
+    signs = F.zip_with("__spans", F.slice(last, 1, F.size("__spans")), lambda x, b: F.concat(repeat("0", x["a"] - b), repeat("1", x["b"] - x["a"])))
+    signs = F.rpad(F.array_join(signs, ""), F.size(words), "0")
     # a kept word brings what stood after it, the first one also what stood before
-    rest = F.concat(F.when(F.array_contains(kept, 0), F.element_at("__gaps", 1)).otherwise(F.lit("")), F.array_join(F.transform("__kept", lambda i: F.concat(F.element_at("__words", i + 1), F.element_at("__gaps", i + 2))), ""))
+    units = F.filter(F.arrays_zip(F.col("__words").alias("w"), F.slice("__gaps", 2, F.greatest(F.size("__words"), F.lit(1))).alias("gap"), F.split("__signs", "").alias("sign")), lambda x: x["sign"] == "0")
+    rest = F.concat(F.when(F.col("__signs").startswith("0"), F.element_at("__gaps", 1)).otherwise(F.lit("")), F.array_join(F.transform(units, lambda x: F.concat(x["w"], x["gap"])), ""))
     dirty = rows.where("__spans is not null").where(share <= max_share)
     # written: else the optimizer would put the split into the lambda, once for each word
-    dirty = saved(dirty.withColumns({"__words": words, "__gaps": between, "__kept": kept}), "dirty")
+    dirty = saved(dirty.withColumns({"__words": words, "__gaps": between, "__signs": signs}), "dirty")
     dirty = dirty.withColumn(text, rest).select(*names)
     return rows.where("__spans is null").select(*names).unionByName(dirty)
