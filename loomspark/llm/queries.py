@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import chat, decontaminate, language, media, minhash, packing, quality, repair, suffix, warc
 from loomspark.llm.frames import table
+from loomspark.llm.oracles import ORACLES  # noqa: F401
 
 
 def vocabulary(name: str) -> str:
@@ -38,7 +39,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=suffix.PASSAGE)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_media_avi, op3_decontaminate, op4_suffix_dedup, op5_minhash, op6_language_id, op7_warc, op8_quality, op9_token_shards, op10_packing)}
-ORACLES: dict[str, str] = {}

@@ -62,6 +62,17 @@ def test_minhash_against_brute_force(spark, list_rows):
     assert got == {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
 
 
+def test_minhash_parts_of_a_list(spark):
+    rows = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(30 * k)], "key long, doc_id long")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    lists = defaultdict(list)
+    for r in minhash._parted(rows, counts, 10).collect():
+        lists[r["key"]].append((r["side"], r["doc_id"]))
+    met = {(min(a, b), max(a, b)) for x in lists.values() for p, a in x for q, b in x if a != b and (p != q or p < 0)}
+    assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    assert max(map(len, lists.values())) < 50
+
+
 def test_minhash_empty_table(spark):
     assert minhash.near_duplicates(docs(spark, ["a"]).where("false")).count() == 0
 
@@ -83,6 +94,11 @@ def test_suffix_against_brute_force(spark, length, bucket_rows):
         want[i] = (len(t), int(flags.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~flags])).hexdigest())
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix.remove_repeats(docs(spark, texts), length=length, bucket_rows=bucket_rows).collect()}
     assert got == want
+    for passage in (length // 2, length * 2):
+        two = {r["doc_id"]: tuple(r)[1:] for r in suffix.remove_repeats(docs(spark, texts), length=length, passage=passage, bucket_rows=bucket_rows).collect()}
+        assert {i: r[:4] for i, r in two.items()} == want
+        other = {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(docs(spark, texts), length=passage).collect()}
+        assert {i: r[4] for i, r in two.items()} == other
     kept = {r["doc_id"]: r["kept_text"] for r in suffix.remove_repeats(docs(spark, texts), length=length, with_text=True).collect()}
     assert all(hashlib.sha256(kept[i].encode()).hexdigest() == want[i][3] for i in kept if (texts[i] or "").isascii())
     assert suffix.remove_repeats(docs(spark, texts).where("false")).count() == 0
@@ -156,7 +172,7 @@ def test_chat_round_trip(spark):
         assert [(x["role"], x["text"]) for r in got[c] for x in r["turns"]] == rows
         assert "".join(r["loss_text"] for r in got[c]) == "".join(t for role, t in rows if role == "assistant")
     for r in w.collect():
-        assert r["n_tokens"] <= 64 or r["n_turns"] == 1 or r["n_repeated"]
+        assert r["n_tokens"] <= 64 or (r["n_turns"] == 1 and not r["n_repeated"])
     assert any(r["n_repeated"] for r in w.collect())
     assert chat.windows(df.where("false")).count() == 0
 
@@ -179,6 +195,23 @@ def test_chat_budget(spark):
     assert [(c, *t) for c, _, own in read for t in own] == [(c, role, text) for c, _, role, text in sorted(turns)]
 
 
+def test_chat_repeated_rows_and_ranges_of_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHAPTER", 7)
+    monkeypatch.setattr(chat, "SPANS_AT_ONCE", 2)
+    rows = [(1, t, "system" if t == 3 else "assistant" if t % 2 else "user", f"turn {t} " * (t % 5)) for t in range(60)] + [(2, 5, "assistant", "same")] * 6 + [(2, None, "user", "first")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, first string")
+    w = chat.windows(df, budget=64)
+    read = chat.read_back(w).orderBy("conv_id", "first_turn").collect()
+    for c in (1, 2):
+        want = [(r[2], r[3]) for r in sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1]))]
+        assert [tuple(t) for r in read if r["conv_id"] == c for t in r["turns"]] == want
+        assert "".join(r["loss_text"] for r in read if r["conv_id"] == c) == "".join(t for role, t in want if role == "assistant")
+    got = w.collect()
+    assert all(r["n_tokens"] <= 64 for r in got)
+    assert all(r["formatted"].startswith("<s>system[/INST]") for r in got if r["conv_id"] == 1 and r["first_turn"] > 3)
+    assert sum(r["n_repeated"] > 1 for r in got) > 3
+
+
 def test_media_round_trip(spark):
     texts = corpus(5, 25)
     videos = media.encode_videos(docs(spark, texts))
@@ -194,9 +227,12 @@ def test_media_round_trip(spark):
     assert media.shots(x) == [(0, 9), (10, 19), (20, 29)]
     frames = media.encode_frames(np.random.default_rng(0).integers(0, 256, (3, 32, 64), dtype=np.uint8))
     assert np.array_equal(media.decode_frames(frames), np.random.default_rng(0).integers(0, 256, (3, 32, 64), dtype=np.uint8))
+    assert media.shots(x[9:11]) == [(0, 0), (1, 1)]
     for bad in (b"RIFF", media.write_avi(b"a" * 64)[:-40]):
         with pytest.raises(Exception):
             media.read_avi(bad)
+    none = videos.limit(2).withColumn("media", F.lit(None).cast("binary"))
+    assert [r["payload_sha256"] for r in media.inspect(none).collect()] == [None, None] and media.clips(none).count() == 0
     assert media.inspect(media.encode_videos(docs(spark, texts).where("false"))).count() == 0
 
 
@@ -309,3 +345,93 @@ def test_quality(spark):
     assert got[0] > 0.8 and got[1] < 0.3 and got[2] == got[3] and got[4] > 0.8
     empty = quality.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
     assert {r["quality_score"] for r in quality.score(docs(spark, texts), empty).collect()} == {0.5}
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, code, value=0, size=0):
+        self.bits += code + (format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else "")
+
+    def data(self):
+        b = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(b[i : i + 8], 2) for i in range(0, len(b), 8)).replace(b"\xff", b"\xff\0")
+
+
+def segment(kind, body):
+    return bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def flat_codes(symbols):
+    """Codes of nine bits each, and the table that says so."""
+    return {s: format(k, "09b") for k, s in enumerate(symbols)}, bytes([0] * 8 + [len(symbols)] + [0] * 7) + bytes(symbols)
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_foreign_lossless_jpeg(predictor):
+    x = np.random.default_rng(predictor).integers(0, 256, (7, 11)).astype(int)
+    codes, table = flat_codes(list(range(17)))
+    out = BitWriter()
+    for r in range(7):
+        for c in range(11):
+            a, b, d = x[r, c - 1], x[r - 1, c], x[r - 1, c - 1]
+            guess = 128 if not r and not c else a if not r else b if not c else (a, b, d, a + b - d, a + ((b - d) >> 1), b + ((a - d) >> 1), (a + b) >> 1)[predictor - 1]
+            diff = int(x[r, c] - guess)
+            out.put(codes[abs(diff).bit_length()], diff, abs(diff).bit_length())
+    file = b"\xff\xd8" + segment(0xC3, bytes([8, 0, 7, 0, 11, 1, 1, 0x11, 0])) + segment(0xC4, b"\0" + table) + segment(0xDA, bytes([1, 1, 0, predictor, 0, 0])) + out.data() + b"\xff\xd9"
+    assert np.array_equal(media.decode_frames([file, file])[1], x)
+
+
+@pytest.mark.parametrize(("layout", "restart"), [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_baseline_jpeg(layout, restart):
+    """A small encoder with quantisation steps of 1: what is decoded differs by rounding only."""
+    h, v = layout[0]
+    height, width = 24, 40
+    ys, xs = np.mgrid[0:height, 0:width]
+    image = (128 + 60 * np.sin(xs / 5.0) + 40 * np.cos(ys / 7.0)).astype(np.uint8)
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    full = np.pad(image, ((0, down * 8 * v - height), (0, across * 8 * h - width)), mode="edge").astype(float) - 128
+    cosines = np.array([[np.cos((2 * i + 1) * k * np.pi / 16) * (np.sqrt(1 / 8) if k == 0 else 0.5) for i in range(8)] for k in range(8)])
+    order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    dc_codes, dc = flat_codes(list(range(12)))
+    ac_codes, ac = flat_codes([0, 0xF0, *[run << 4 | size for run in range(16) for size in range(1, 11)]])
+    scans, last, out = [], [0] * len(layout), BitWriter()
+
+    def block(values, k):
+        diff = values[0] - last[k]
+        last[k] = values[0]
+        out.put(dc_codes[abs(diff).bit_length()], diff, abs(diff).bit_length())
+        run = 0
+        for value in values[1:]:
+            if not value:
+                run += 1
+                continue
+            while run > 15:
+                out.put(ac_codes[0xF0])
+                run -= 16
+            out.put(ac_codes[run << 4 | abs(value).bit_length()], value, abs(value).bit_length())
+            run = 0
+        if run:
+            out.put(ac_codes[0])
+
+    for unit in range(across * down):
+        if restart and unit and unit % restart == 0:
+            scans.append(out.data())
+            last, out = [0] * len(layout), BitWriter()
+        for k, (hk, vk) in enumerate(layout):
+            for j in range(vk):
+                for i in range(hk):
+                    r, c = (unit // across * v + j) * 8, (unit % across * h + i) * 8
+                    coefficients = np.round(cosines @ full[r : r + 8, c : c + 8] @ cosines.T).astype(int) if k == 0 else np.zeros((8, 8), dtype=int)
+                    block([int(coefficients[p]) for p in order], k)
+    scans.append(out.data())
+    data = scans[0] + b"".join(bytes([0xFF, 0xD0 + k % 8]) + s for k, s in enumerate(scans[1:]))
+    parts = b"".join(bytes([k + 1, hk << 4 | vk, 0]) for k, (hk, vk) in enumerate(layout))
+    file = b"\xff\xd8" + segment(0xDB, b"\0" + bytes([1] * 64)) + segment(0xC0, bytes([8, 0, height, 0, width, len(layout)]) + parts) + segment(0xC4, b"\0" + dc + b"\x10" + ac)
+    file += segment(0xDD, restart.to_bytes(2, "big")) * bool(restart) + segment(0xDA, bytes([len(layout)]) + b"".join(bytes([k + 1, 0]) for k in range(len(layout))) + bytes([0, 63, 0])) + data + b"\xff\xd9"
+    assert np.abs(media.decode_frames([file])[0].astype(int) - image).max() <= 2
+    with pytest.raises(ValueError, match="process"):
+        media.decode_frames([file.replace(b"\xff\xc0", b"\xff\xc2")])
+    with pytest.raises(ValueError, match="Huffman"):
+        media.decode_frames([file.replace(b"\xff\xc4", b"\xff\xe4")])
