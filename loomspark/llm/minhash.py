@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm import bytetext as B
-from loomspark.llm.frames import arrow, only
+from loomspark.llm.frames import arrow, only, spread_join
 from loomspark.operators.components import connected_components
 from loomspark.plans.shared import discard, saved
 
@@ -115,10 +115,9 @@ def _lengths_fit(a: str, b: str) -> F.Column:
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def _star_pairs(postings: DataFrame, reps: DataFrame) -> DataFrame:
+def _star_pairs(postings: DataFrame, leads: DataFrame, rows: int, reps: DataFrame) -> DataFrame:
     """Each list's members with its smallest id, where lengths and the number of equal coordinates allow a link."""
-    lead = postings.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = postings.join(lead, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = spread_join(postings, leads, ["key"], rows).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     equal = lambda start, n, test: F.expr(f"aggregate(zip_with(slice(sa, {start}, {n}), slice(sb, {start}, {n}), (x, y) -> {test}), 0, (s, v) -> s + v)")
     same = equal(1, PREFIX, "if(x = y, 1, 0)") + equal(PREFIX + 1, WIDTH - PREFIX, "if(x & 65535 = y & 65535, 1, 0) + if(shiftrightunsigned(x, 16) = shiftrightunsigned(y, 16), 1, 0)")
@@ -208,14 +207,14 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
     return arrow(lists.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
-def _parted(rows: DataFrame, counts: DataFrame, list_rows: int) -> DataFrame:
+def _parted(rows: DataFrame, counts: DataFrame, list_rows: int, total: int) -> DataFrame:
     """rows (key, doc_id) in lists of about list_rows rows at most twice: a longer list is dealt into blocks, and each two blocks are a list of two sides.
 
-    counts: key and n. Every pair of a list's rows meets in one task, whatever the list's size.
+    counts: key and n; total: the sum of n at most. Every pair of a list's rows meets in one task, whatever the list's size.
     """
     parts = F.ceil(F.col("n") / list_rows).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    met = rows.join(counts.select("key", parts.alias("parts")), "key").withColumn("own", own)
+    met = spread_join(rows, counts, ["key"], total).withColumn("parts", parts).withColumn("own", own)
     met = met.withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise((F.col("own") > F.col("other")).cast("int"))
@@ -240,14 +239,19 @@ def _rare_lists(long: DataFrame, docs: DataFrame, list_rows: int) -> tuple[DataF
 
     texts = only(docs, long.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     shingles = saved(arrow(texts.select("doc_id", "text"), run, "key long, doc_id long"), "shingles")
-    often = shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    often = saved(shingles.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
     of_text = Window.partitionBy("doc_id")
     n = F.col("n_shingles")
-    shared = shingles.join(often, "key").withColumn("place", F.row_number().over(of_text.orderBy("often", "key"))).withColumn("shared", F.count("*").over(of_text))
+    shared = spread_join(shingles, often, ["key"], shingles.count()).withColumn("place", F.row_number().over(of_text.orderBy("n", "key"))).withColumn("shared", F.count("*").over(of_text))
     first = F.col("place") + n - F.col("shared") <= n - F.ceil(n * PERCENT / 100) + 1
     posted = saved(shared.join(long.select("doc_id", "comp", "n_shingles"), "doc_id").where(first).select("key", "doc_id", "comp"), "rare")
-    mixed = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    return _parted(posted.select("key", "doc_id"), mixed, list_rows).join(long, "doc_id"), (shingles, posted)
+    mixed = saved(_mixed(posted), "mixed")
+    return _parted(posted.select("key", "doc_id"), mixed, list_rows, posted.count()).join(long, "doc_id"), (shingles, often, posted, mixed)
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """key and n (rows) of the lists (key, comp) that hold several components."""
+    return lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -283,21 +287,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", lis
     classes = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = saved(sketches.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").where("sig is not null").select("doc_id", "n_shingles", "sig", "bins"), "reps")
     postings = reps.select("doc_id", F.posexplode(F.slice("sig", 1, PREFIX)).alias("k", "v")).select("doc_id", _key("k", "v").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    postings = saved(postings.join(shared, "key"), "lists")
+    leads = saved(postings.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "leads")
+    postings = saved(spread_join(postings, leads, ["key"], PREFIX * reps.count()).select("doc_id", "key"), "lists")
+    rows = postings.count()
 
-    stars = saved(_star_pairs(postings.drop("n"), reps), "stars")
+    stars = saved(_star_pairs(postings, leads, rows, reps), "stars")
     links = saved(_confirmed(stars, docs), "links")
     comp = saved(connected_components(links, "a", "b"), "components")
 
-    labelled = postings.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    labelled = postings.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    labelled = saved(labelled, "labelled")
+    mixed = saved(_mixed(labelled), "mixed")
     # of each text, its short lists (at most PREFIX) and which of its coordinates have long ones
     is_long = F.col("n") > list_rows
     bit = F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")
-    of_text = labelled.join(mixed, "key").groupBy("doc_id").agg(F.min("comp").alias("comp"), F.coalesce(F.bit_or(F.when(is_long, bit)), F.lit(0).cast("long")).alias("mask"), F.collect_list(F.when(~is_long, F.struct("key", "n"))).alias("lists"))
+    of_text = spread_join(labelled, mixed, ["key"], rows).groupBy("doc_id").agg(F.min("comp").alias("comp"), F.coalesce(F.bit_or(F.when(is_long, bit)), F.lit(0).cast("long")).alias("mask"), F.collect_list(F.when(~is_long, F.struct("key", "n"))).alias("lists"))
     members = saved(of_text.join(reps, "doc_id"), "members")
-    discard(postings, reps)
+    discard(postings, reps, leads, labelled, mixed)
     long = members.where("mask <> 0").drop("lists")
     short = members.select(F.explode("lists").alias("list"), "mask", "doc_id", "comp", "n_shingles", "sig", "bins")
     short = short.select("list.key", F.shiftright("list.key", 32).cast("int").alias("coord"), "mask", F.lit(-1).alias("side"), "doc_id", "comp", "n_shingles", "sig", F.when(F.col("list.n") > BINNED_ROWS, F.col("bins")).alias("bins"))

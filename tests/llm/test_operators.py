@@ -66,7 +66,7 @@ def test_minhash_parts_of_a_list(spark):
     rows = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(30 * k)], "key long, doc_id long")
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
     lists = defaultdict(list)
-    for r in minhash._parted(rows, counts, 10).collect():
+    for r in minhash._parted(rows, counts, 10, 90).collect():
         lists[r["key"]].append((r["side"], r["doc_id"]))
     met = {(min(a, b), max(a, b)) for x in lists.values() for p, a in x for q, b in x if a != b and (p != q or p < 0)}
     assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)}
