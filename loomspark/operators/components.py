@@ -74,12 +74,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = PART_EDGES) -> DataFrame:
     """(node, component) for every node of an edge that is no loop; component is the smallest node of its component.
 
     Nulls and loops count as no edge; repeated and mirrored edges count once; no edges give no rows.
-    Tasks first connect what their own edges do, which leaves an edge by node. Two halves of a round then leave the
-    edges as they were exactly when every component is a star around its smallest node.
+    Tasks first connect what their own edges do, which leaves an edge by node. If that leaves at most one_task edges (16
+    bytes each), one task connects them; else rounds go on. Two halves of a round leave the edges as they were exactly
+    when every component is a star around its smallest node.
     """
     directed = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
@@ -91,6 +92,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         return out, (got["n"], got["sum"])
 
     now, mark = written(_contracted(directed).distinct())
+    if 0 < mark[0] <= one_task:
+        last, now = now, saved(_contracted(now.coalesce(1)), "edges")
+        discard(last)
+        max_rounds, mark = 1, (0,)
     for _ in range(max_rounds):
         if not mark[0]:
             break

@@ -255,8 +255,9 @@ def test_components(spark):
         for a, b in edges:
             if a in root and b in root and a != b:
                 root[a] = root[b] = min(root[a], root[b])
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
-    assert {r["node"]: r["component"] for r in got.collect()} == root
+    for one_task in (0, 1000):
+        got = connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(5), one_task=one_task)
+        assert {r["node"]: r["component"] for r in got.collect()} == root
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
