@@ -56,26 +56,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
-def suffix_sql(length: int = suffix.LENGTH, passage: int = suffix.PASSAGE, block: int = 200) -> str:
+def suffix_sql(length: int = suffix.LENGTH, block: int = 200) -> str:
     """Windows are cut out of blocks, so that no window costs the length of its text."""
-
-    def covered(size: int, name: str) -> str:
-        return f"""{name}_w AS (SELECT doc_id, s + k AS a, hash(substr(y, 2*k+1, {2 * size})) AS h FROM (
-  SELECT doc_id, s, y, unnest(range(0, least({block}, length(y)//2 - {size - 1}))) AS k FROM (
-  SELECT doc_id, s, substr(x, 2*s+1, {2 * (block + size - 1)}) AS y FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x)//2 - {size - 1}, 0), {block})) AS s FROM t)))),
-{name}_h AS (SELECT h FROM {name}_w GROUP BY h HAVING count(*) > 1),
-{name}_s AS (SELECT doc_id, a, a > coalesce(lag(a) OVER (PARTITION BY doc_id ORDER BY a) + {size}, -1) AS fresh FROM {name}_w WHERE h IN (SELECT h FROM {name}_h)),
-{name} AS (SELECT doc_id, min(a) AS a, max(a) + {size} AS b FROM (SELECT doc_id, a, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM {name}_s) GROUP BY doc_id, run)"""
-
     return f"""WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-{covered(length, "gone")},
-{covered(passage, "also")},
+windows AS (SELECT doc_id, s + k AS a, hash(substr(y, 2*k+1, {2 * length})) AS h FROM (
+  SELECT doc_id, s, y, unnest(range(0, least({block}, length(y)//2 - {length - 1}))) AS k FROM (
+  SELECT doc_id, s, substr(x, 2*s+1, {2 * (block + length - 1)}) AS y FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x)//2 - {length - 1}, 0), {block})) AS s FROM t)))),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, a, a > coalesce(lag(a) OVER (PARTITION BY doc_id ORDER BY a) + {length}, -1) AS fresh FROM windows WHERE h IN (SELECT h FROM repeated)),
+gone AS (SELECT doc_id, min(a) AS a, max(a) + {length} AS b FROM (SELECT doc_id, a, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM starts) GROUP BY doc_id, run),
 cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM gone),
-kept AS (SELECT doc_id, sum(b - a) AS n, count(*) AS runs, max(b) AS last, string_agg(substr(x, 2*e+1, 2*(a-e)), '' ORDER BY a) AS head FROM cut JOIN t USING (doc_id) GROUP BY doc_id),
-more AS (SELECT doc_id, sum(b - a) AS n FROM also GROUP BY doc_id)
+kept AS (SELECT doc_id, sum(b - a) AS n, count(*) AS runs, max(b) AS last, string_agg(substr(x, 2*e+1, 2*(a-e)), '' ORDER BY a) AS head FROM cut JOIN t USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(kept.n, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(head, '') || substr(x, 2*coalesce(last, 0)+1))) AS kept_sha256, coalesce(more.n, 0)::BIGINT AS n_passage_bytes
-FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN more USING (doc_id)"""
+  sha256(unhex(coalesce(head, '') || substr(x, 2*coalesce(last, 0)+1))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)"""
 
 
 def minhash_sql(shingle: int = 5, percent: int = 75) -> str:
