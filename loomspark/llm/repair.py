@@ -40,6 +40,8 @@ END = 2
 LEAST_COUNT = 8
 SHARD_IDS = 1_000_000
 TEXTS_AT_ONCE = 250
+#: Symbols are linked, no longer moved, when fewer than the LINKED-th part of them begin a pair that may be frequent.
+LINKED = 4
 _SLOTS = 18
 _MAGIC = b"LRP2"
 _HEAD = "<4Iq4B"
@@ -56,37 +58,45 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST_COUNT) -> tup
     rules: list[np.ndarray] = []
     size = np.ones(first, dtype=np.int64)
     open_ = np.flatnonzero(~last)  # where a pair begins that may be frequent
+    following = preceding = gone = None  # neighbours of each place that is left, once few pairs are open: symbols then stay where they are
     holder = np.zeros(1 << _SLOTS, dtype=np.uint64)
     number = np.zeros(1 << _SLOTS, dtype=np.int64)
+    slots = np.arange(1 << _SLOTS)
     odd = 0x9E3779B97F4A7C15
     while len(open_):
-        key = symbols[open_].astype(np.uint64) << np.uint64(32) | symbols[open_ + 1]
-        slot = ((key * np.uint64(odd)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        key = symbols[open_].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= symbols[open_ + 1 if following is None else following[open_]]
+        slot = key * np.uint64(odd)
+        slot >>= np.uint64(64 - _SLOTS)
+        slot = slot.view(np.int64)
         odd = odd * 0x5851F42D4C957F2D & (1 << 64) - 1
         # a slot's count is at least a pair's: most rare pairs go at once
-        often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= least
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot])
         open_, key, slot = open_[often], key[often], slot[often]
         holder[slot] = key
         held = holder[slot] == key
-        n = np.bincount(slot[held], minlength=1 << _SLOTS)[slot]
-        n[~held] = 0
-        keep = ~held | (n >= least)
-        open_, slot, n = open_[keep], slot[keep], n[keep]
+        n = np.bincount(slot[np.flatnonzero(held)], minlength=1 << _SLOTS)
+        keep = np.flatnonzero(~held | (n >= least)[slot])
+        open_, slot, held = open_[keep], slot[keep], held[keep]
         if not len(open_):
             break
-        score = np.where(n > 0, n << _SLOTS | slot, 0)
-        joined = np.diff(open_) == 1
-        before, after = np.append(0, np.where(joined, score[:-1], 0)), np.append(np.where(joined, score[1:], 0), 0)
+        score = (n << _SLOTS | slots)[slot] * held
+        joined = (open_[:-1] + 1 if following is None else following[open_[:-1]]) == open_[1:]
+        before, after = np.append(0, score[:-1] * joined), np.append(score[1:] * joined, 0)
         best = (score > 0) & (before <= score) & (after <= score)
         # of a run of equal pairs every second one
-        twin = np.flatnonzero(best & (before == score))
-        taken = best.copy()
+        equal = before == score
+        twin = np.flatnonzero(best & equal)
+        taken = best
         if len(twin):
-            begin = np.flatnonzero(before != score)
+            begin = np.flatnonzero(~equal)
+            taken = best.copy()
             taken[twin] = (twin - begin[np.searchsorted(begin, twin, side="right") - 1]) % 2 == 0
+        taken = np.flatnonzero(taken)
         at, of = open_[taken], slot[taken]
         used = np.bincount(of, minlength=1 << _SLOTS)
-        pays = used[of] >= least
+        pays = np.flatnonzero((used >= least)[of])
         at, of = at[pays], of[pays]
         if not len(at):  # what is best overlaps itself too often: it is done, unless others wait for a slot
             open_ = open_[~best]
@@ -97,16 +107,34 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST_COUNT) -> tup
         rules.append(np.stack([a, b, size[a] + size[b]], axis=1))
         symbols[at] = number[of] + len(size)
         size = np.concatenate([size, size[a] + size[b]])
+        if following is not None:
+            second = following[at]
+            last[at] |= last[second]
+            gone[second] = True
+            following[at] = following[second]
+            inner = np.flatnonzero(following[at] < len(symbols))
+            preceding[following[at[inner]]] = at[inner]
+            seen[open_] = seen[np.maximum(preceding[at], 0)] = True
+            new = np.flatnonzero(seen)
+            seen[new] = False
+            open_ = new[~(gone[new] | last[new])]
+            continue
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         seen = np.zeros(len(symbols), dtype=bool)
         seen[open_] = True
-        seen[at] = True
         symbols, last, seen = symbols[keep], last[keep], seen[keep]
         new = at - np.arange(len(at))  # places after the cut
         seen[np.maximum(new - 1, 0)] = True
         open_ = np.flatnonzero(seen & ~last)
+        if len(open_) < len(symbols) // LINKED:
+            following, preceding = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+            gone, seen = np.zeros(len(symbols), dtype=bool), np.zeros(len(symbols), dtype=bool)
+    if following is not None:
+        left = np.flatnonzero(~gone)
+        symbols, last = symbols[left], last[left]
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 3), dtype=np.int64), first
 
 
@@ -117,8 +145,9 @@ def _bits(values: np.ndarray) -> int:
 def _packed(values: np.ndarray, width: int) -> bytes:
     out = bytearray()
     for i in range(0, len(values), 1 << 16):  # whole bytes: 2**16 values of any width
-        part = values[i : i + (1 << 16)].astype(np.uint64)
-        out += np.packbits(((part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        part = values[i : i + (1 << 16)].astype("<u4" if width <= 32 else "<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, count=width, bitorder="little")
+        out += np.packbits(bits.ravel(), bitorder="little").tobytes()
     return bytes(out)
 
 
@@ -127,8 +156,9 @@ def _unpacked(data: memoryview, n: int, width: int) -> np.ndarray:
     for i in range(0, n, 1 << 16):
         m = min(1 << 16, n - i)
         bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-m * width // 8), i // 8 * width), count=m * width, bitorder="little").reshape(m, width)
-        for k in range(width):
-            out[i : i + m] |= bits[:, k].astype(np.int64) << k
+        whole = np.zeros((m, 32 if width <= 32 else 64), dtype=np.uint8)
+        whole[:, :width] = bits
+        out[i : i + m] = np.packbits(whole, axis=1, bitorder="little").view("<u4" if width <= 32 else "<i8").ravel()
     return out
 
 

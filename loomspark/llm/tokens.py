@@ -24,6 +24,16 @@ _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[33:127] = 2
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
 _KIND[39] = 0
+#: The same and 4: white space. A word-level piece ends where two neighbours' classes differ by 3 bits or over.
+_CLASS = _KIND | B.SPACE.astype(np.uint8) << 2
+#: Byte-level vocabularies' sign for each byte, as UTF-16; a space stays one, to part words.
+_SHOWN = np.array([b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174])
+_SIGN = np.zeros(256, dtype="<u2")
+_SIGN[np.setdiff1d(np.arange(256), _SHOWN)] = 256 + np.arange(256 - len(_SHOWN))
+_SIGN[_SHOWN] = _SHOWN
+_SIGN[32] = 32
+#: Letters below U+0250 that a lower case of one letter and the normal form leave as they are.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: How the two vocabularies mark a word's beginning after a space, and its end.
@@ -45,17 +55,29 @@ def encoder(path: str, with_space: bool) -> PieceEncoder:
     return _encoders[path, with_space]
 
 
+def _signs(words: str) -> str:
+    """Words of LETTERS between single spaces, in lower case and in byte-level signs."""
+    return _SIGN[np.frombuffer(words.lower().encode(), dtype=np.uint8)].tobytes().decode("utf-16-le")
+
+
 class PieceEncoder:
     """encode(texts): ids of each text. with_space: a single space belongs to the word after it (byte-level), else white space has no ids."""
 
     def __init__(self, path: str, with_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.with_space = Tokenizer.from_file(path), with_space
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (byte-level) or end a word
         self.edge[[k for t, k in vocabulary.items() if (t.startswith(SPACED) if with_space else t.endswith(CLOSED))]] = True
+        self.letters = None  # the same model, for words of letters that are already in lower case and in byte-level signs
+        if not with_space:
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            words = [" ".join(LETTERS), LETTERS]
+            if [x.ids for x in self.letters.encode_batch_fast([_signs(w) for w in words], add_special_tokens=False)] != [self.whole(w).tolist() for w in words]:
+                self.letters = None  # a vocabulary with another normal form
         self._clear()
 
     def _clear(self) -> None:
@@ -71,17 +93,16 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _pieces(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.with_space:
+            kind = _CLASS[buf]
+            at = np.append(0, np.flatnonzero((kind[1:] ^ kind[:-1]) >= 3) + 1)  # the last is the last separator or before it
+            keep = np.flatnonzero(kind[at[:-1]] != 4)
+            return at[keep], at[keep + 1]
         space = B.SPACE[buf]
         space[starts[1:] - 1] = True
         own = np.zeros(len(buf) + 1, dtype=bool)  # where a piece begins
         kind = _KIND[buf]
         own[1:-1] = (kind[1:] ^ kind[:-1]) == 3  # between a letter or digit and a sign, always another token
-        if not self.with_space:
-            s, e = B.runs(~space)
-            own[s] = own[e] = True
-            at = np.flatnonzero(own)
-            keep = ~space[np.minimum(at[:-1], len(buf) - 1)]
-            return at[:-1][keep], at[1:][keep]
         own[starts] = True
         own[starts[1:] - 1] = True  # a separator is a piece, dropped below
         s, e = B.runs(~space)
@@ -167,11 +188,11 @@ class PieceEncoder:
         a word's edge; where the number of edges isn't that of the pieces, these go one by one like all others.
         """
         own = [w[1:] if w[:1] == " " else "" for w in words] if self.with_space else words
-        plain = [k for k, w in enumerate(own) if w.isalpha() and (w.isascii() or max(w) < "\u0250")]
+        plain = [k for k, w in enumerate(own) if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)]
         lengths, parts = np.zeros(len(words), dtype=np.int64), {}
         runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        joined = ("" if self.with_space else " ").join
-        encoded = self.tokenizer.encode_batch_fast([joined([words[k] for k in run]) for run in runs], add_special_tokens=False)
+        joined = [("" if self.with_space else " ").join([words[k] for k in run]) for run in runs]
+        encoded = (self.letters or self.tokenizer).encode_batch_fast([*map(_signs, joined)] if self.letters else joined, add_special_tokens=False)
         alone = np.ones(len(words), dtype=bool)
         for run, x in zip(runs, encoded, strict=True):
             ids = np.array(x.ids, dtype=np.uint32)

@@ -435,3 +435,54 @@ def test_baseline_jpeg(layout, restart):
         media.decode_frames([file.replace(b"\xff\xc0", b"\xff\xc2")])
     with pytest.raises(ValueError, match="Huffman"):
         media.decode_frames([file.replace(b"\xff\xc4", b"\xff\xe4")])
+
+
+def test_new_words_of_letters_skip_the_normal_form(spark):
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    rng = random.Random(5)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(3000)] + ["École", "ǅ", "ŉx", "İstanbul", "naïve.", "don't", "é", "ﬁ", "x1y"]
+    text = " ".join(words)
+    e = PieceEncoder(vocabulary("word_bpe_49k.json"), False)
+    full, calls = e.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **k):
+            calls.extend(texts)
+            return full.encode_batch_fast(texts, **k)
+
+    e.tokenizer = Counted()
+    ids, at = e.encode([text, "", "Aé bC"])
+    want = [full.encode(t, add_special_tokens=False).ids for t in (text, "", "Aé bC")]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    # only what isn't plain letters goes through the vocabulary's normal form
+    assert not [w for t in calls for w in t.split(" ") if w.isalpha() and max(w) < "ɐ" and "İ" not in w]
+
+
+def test_linked_symbols_give_the_same_shard(monkeypatch):
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 400, 700)
+    parts = [x for _ in range(60) for x in (rng.integers(0, 400, rng.integers(1, 300)), passage[: rng.integers(1, 700)])]
+    ids, ends = np.concatenate([*parts, np.full(999, 5), np.tile([1, 2], 400)]).astype(np.uint32), np.cumsum([*map(len, parts), 999, 800])
+    data = []
+    for linked in (1 << 40, 4, 1):  # never, as it is, from the second round
+        monkeypatch.setattr(repair, "LINKED", linked)
+        data.append(repair.write_shard(np.arange(len(ends)), ids, ends))
+    assert data[0] == data[1] == data[2]
+    s = repair.Shard(data[0])
+    assert len(s.rules) > 100 and np.array_equal(s.all()[0], ids)
+    pairs = Counter()
+    for k in range(len(ends)):
+        row, skip = s.symbols[s.symbol[k] : s.symbol[k + 1]].tolist(), False
+        for p in zip(row[:-1], row[1:], strict=True):
+            skip = p[0] == p[1] and not skip  # of a run every second pair
+            pairs[p] += p[0] != p[1] or skip
+    assert max(pairs.values()) < repair.LEAST_COUNT
+
+
+@pytest.mark.parametrize("width", [1, 7, 8, 31, 32, 33, 62])
+def test_packed_widths(width):
+    rng = np.random.default_rng(width)
+    values = np.append(rng.integers(0, 1 << width, 70_001), (1 << width) - 1)
+    data = repair._packed(values, width)
+    assert np.array_equal(repair._unpacked(memoryview(data), len(values), width), values)
+    assert int.from_bytes(data[: 8 * width], "little") == sum(int(v) << k * width for k, v in enumerate(values[:64]))
